@@ -1,0 +1 @@
+"""Queries over the reference's dataset operators."""
