@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, quality
+from millrace.llm import bpe, fingerprint, language_id, mixing, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_secrets": secret_scan.op6_secrets,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
