@@ -77,7 +77,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null or empty text has no word: it fails the base rules, and its cleaned text is
     empty. A text that loses no line comes out as it was. Rows that repeat are judged
-    alike. Columns of ``docs`` stay; the added names start with ``q_``.
+    alike. Columns of ``docs`` stay; the added names start with ``__q_``.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         base = (w["n"] < MIN_WORDS) | (100 * w["rep"] > MAX_REPEAT_PERCENT * w["n"])
         lines_ok = (100 * lost <= MAX_LOST_PERCENT * ls["all"]) & ~((ls["w"]["n"] >= DUP_LINES_FROM) & (2 * ls["w"]["dup"] > ls["w"]["n"]))
         values = [w["n"], w["chars"], ls["symbols"], ls["w"]["dup"], w["rep"], base, ~base & lines_ok, lost, ls["j"]["clean"]]
-        return F.struct(*[v.alias(f"q_{n}") for v, n in zip(values, MEASURES, strict=True)])
+        return F.struct(*[v.alias(f"__q_{n}") for v, n in zip(values, MEASURES, strict=True)])
 
     # inline() stands between: a projection would be merged and computed anew for each column.
     return docs.select("*", F.inline(F.array(let(measures, verdict))))
@@ -112,7 +112,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = judge(documents(spark, sf_dir).select("doc_id", "text"))
-    return judged.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in MEASURES if n != "clean"])
+    return judged.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in MEASURES if n != "clean"])
 
 
 OP9_SQL = rf"""
