@@ -19,3 +19,11 @@ def register(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from millrace.plans import prepare  # noqa: F401
+
+
+load()
