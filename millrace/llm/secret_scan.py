@@ -26,8 +26,8 @@ WINDOW = 20
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.1), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.85))
 #: Strings that look random and are no secret.
 ALLOWED = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|x{6,}|0123456789|1234567890|abcdefghij|deadbeef|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
-#: c * log2(c) of a window's possible counts.
-_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: c * log2(c) of the counts a window can have, and of one more while it moves on.
+_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def hot_windows(s: str, threshold: float, width: int = WINDOW) -> list[tuple[int, int]]:
