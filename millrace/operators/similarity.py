@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import shingles
@@ -16,8 +16,8 @@ from millrace.session import materialize
 SHINGLE, THRESHOLD = 5, 0.8
 PERMUTATIONS, ROWS = 128, 4
 PRIME = (1 << 61) - 1
-#: Members of a band's bucket that are compared pair by pair; a larger bucket is cut by further rows.
-PAIRWISE = 24
+#: Members of a band's bucket that are compared pair by pair, and leaders of a round in a larger one.
+PAIRWISE, LEADERS = 24, 4
 
 
 def permutations(n: int = PERMUTATIONS, seed: str = "minhash-v1") -> list[tuple[int, int]]:
@@ -71,35 +71,51 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
     return keyed.join(least, "key").select("doc_id", "node", "hashes")
 
 
-def links(nodes: DataFrame, threshold: float = THRESHOLD, perms: int = PERMUTATIONS) -> DataFrame:
-    """``a, b, similarity`` of nodes whose shingle sets are similar, verified exactly.
+def _verified(candidates: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of candidate pairs whose shingle sets are similar enough."""
+    left, right = nodes.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), nodes.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    common = F.size(F.array_intersect("ha", "hb"))
+    return candidates.join(left, "a").join(right, "b").where(common >= threshold * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+
 
-    Nodes meet in buckets of equal bands. In a bucket of up to ``PAIRWISE`` nodes all
-    pairs are verified. A larger bucket would give pairs by the square of its size; its
-    nodes are sorted by signature and each is verified against its nearest neighbours in
-    that order and against the bucket's least node, which keeps one linear chain.
+def links(nodes: DataFrame, threshold: float = THRESHOLD, perms: int = PERMUTATIONS, pairwise: int = PAIRWISE, leaders: int = LEADERS) -> DataFrame:
+    """``a, b``: verified links that join the same components as all similar pairs of equal bands.
+
+    Nodes meet in buckets of equal bands. In a bucket of up to ``pairwise`` nodes all
+    pairs are verified. In a larger one, all pairs would grow with the square of its
+    size: there, round by round, a few nodes per component known so far lead, smallest
+    components first, and are compared with the bucket's nodes of other components. A
+    component all of whose nodes have led is settled; a bucket is done when one unsettled
+    component is left. Copies of one passage join in the first round; no link between
+    two components of a bucket is left out.
     """
     nodes = materialize(nodes, "nodes")
     banded = with_signatures(nodes, perms).select("node", F.posexplode("bands").alias("band", "key"))
-    sized = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    sized = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(sized, ["band", "key"]), "buckets")
-    small = members.where(F.col("n") <= PAIRWISE)
-    pairs = small.select("band", "key", F.col("node").alias("a")).join(small.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    star = members.where((F.col("n") > PAIRWISE) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    candidates = pairs.unionAll(star).distinct()
-    left, right = nodes.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), nodes.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = candidates.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    scored = both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    small = members.where(F.col("n") <= pairwise)
+    pairs = small.select("band", "key", F.col("node").alias("a")).join(small.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    found = materialize(_verified(pairs, nodes, threshold), "links")
+    open_ = materialize(members.where(F.col("n") > pairwise).select(F.concat_ws(":", "band", "key").alias("bucket"), "node", F.lit(False).alias("led")), "open")
+    while open_.limit(1).count():
+        component = connected_components(found).withColumnRenamed("node", "__n")
+        placed = open_.join(component, open_["node"] == component["__n"], "left").select("bucket", "node", "led", F.coalesce("component", "node").alias("c"))
+        size = placed.groupBy("bucket", "c").agg(F.count("*").alias("s"), F.count_if(~F.col("led")).alias("left"))
+        live = size.where("left > 0").groupBy("bucket").agg(F.count("*").alias("unsettled")).where("unsettled > 1")
+        placed = materialize(placed.join(size, ["bucket", "c"]).join(live.select("bucket"), "bucket", "left_semi"), "placed")
+        first = Window.partitionBy("bucket").orderBy("s", "c", "node")
+        lead = materialize(placed.where(~F.col("led")).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= leaders).select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), "leaders")
+        met = placed.select("bucket", F.col("node").alias("b"), "c").join(lead, "bucket").where("c <> ca").select("a", "b").distinct()
+        found = materialize(found.unionAll(_verified(met, nodes, threshold)).distinct(), "links")
+        was = lead.select("bucket", F.col("a").alias("node"), F.lit(True).alias("now"))
+        open_ = materialize(placed.join(was, ["bucket", "node"], "left").select("bucket", "node", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")), "open")
+    return found
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, node, component, n_links``: class, component of classes, links of the class."""
+    """``doc_id, node, component`` for every row: its class of equal shingle sets, and the
+    component of classes that are similar, both named by their least id."""
     own = materialize(classes(docs, row_id, text), "classes")
     nodes = own.where("doc_id = node").select("node", "hashes").dropDuplicates(["node"])
-    found = materialize(links(nodes, threshold).select("a", "b"), "links")
-    component = connected_components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = own.select("doc_id", "node").join(component, "node", "left").join(degree, "node", "left")
-    return out.select("doc_id", "node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    component = connected_components(links(nodes, threshold))
+    return own.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))

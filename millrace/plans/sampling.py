@@ -29,8 +29,8 @@ def q_shingles(spark, sf_dir):
     r AS (SELECT d.doc_id, d.s, c.n FROM d JOIN c USING (doc_id) WHERE c.doc_id = c.node),
     p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM r x JOIN r y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.8),
     e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
-    m AS (SELECT a AS node, min(least(a, b)) AS component FROM w GROUP BY a), g AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
-    SELECT c.doc_id, c.node, coalesce(m.component, c.node) AS component, coalesce(g.n_links, 0) AS n_links FROM c LEFT JOIN m USING (node) LEFT JOIN g USING (node)""",
+    m AS (SELECT a AS node, min(least(a, b)) AS component FROM w GROUP BY a)
+    SELECT c.doc_id, c.node, coalesce(m.component, c.node) AS component FROM c LEFT JOIN m USING (node)""",
 )
 def q_near_duplicates(spark, sf_dir):
     return similarity.near_duplicates(table(spark, sf_dir, "documents"))
