@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from millrace.plans import events, metrics, prepare, sampling, streams  # noqa: F401
+    from millrace.plans import events, metrics, prepare, records, sampling, streams  # noqa: F401
 
 
 load()
