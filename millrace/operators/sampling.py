@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, insort
 
 import pandas as pd
@@ -57,6 +56,22 @@ def exact_budget(rows: DataFrame, key: str, order: list[str], size: str, targets
     return summed.select(*rows.columns, epochs.alias("epochs"), part.cast("long").alias("trimmed"), (epochs * F.col(size) + part).cast("long").alias("taken"))
 
 
+class SortedRooms:
+    """Bins that have room, as one sorted list of (room, bin): the first that suffices is the best fit."""
+
+    def __init__(self):
+        self.rooms: list[tuple[int, int]] = []
+        self.made = 0
+
+    def place(self, need: int, capacity: int) -> int:
+        at = bisect_left(self.rooms, (need, -1))
+        room, number = self.rooms.pop(at) if at < len(self.rooms) else (capacity, self.made)
+        self.made = max(self.made, number + 1)
+        if room > need:
+            insort(self.rooms, (room - need, number))
+        return number
+
+
 def pack_best_fit(rows: DataFrame, key: str, row_id: str, size: str, capacity: int, salt: int = 1) -> DataFrame:
     """Best-fit-decreasing bins within each key, and within each of ``salt`` hash parts of it.
 
@@ -67,27 +82,8 @@ def pack_best_fit(rows: DataFrame, key: str, row_id: str, size: str, capacity: i
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([size, row_id], ascending=[False, True])
-        bins_of: dict[int, list[int]] = {}
-        free: list[int] = []
-        bins, room = [], []
-        for s in pdf[size].tolist():
-            at = bisect_left(free, s)
-            if at < len(free):
-                left = free[at]
-                b = heapq.heappop(bins_of[left])
-                if not bins_of[left]:
-                    del bins_of[left]
-                    free.pop(at)
-            else:
-                b, left = len(room), capacity
-                room.append(capacity)
-            room[b] = left - s
-            if room[b] > 0:
-                if room[b] not in bins_of:
-                    bins_of[room[b]] = []
-                    insort(free, room[b])
-                heapq.heappush(bins_of[room[b]], b)
-            bins.append(b)
+        open_bins = SortedRooms()
+        bins = [open_bins.place(s, capacity) for s in pdf[size].tolist()]
         return pd.DataFrame({key: pdf[key], row_id: pdf[row_id], size: pdf[size], "part": pdf["part"], "bin": bins})
 
     part = F.pmod(F.xxhash64(row_id), F.lit(salt)).cast("int")
