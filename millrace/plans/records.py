@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import records as R
+from millrace.functions import render
 from millrace.functions import text as X
+from millrace.operators import selection
 from millrace.plans.registry import register
 from millrace.plans.tables import table
 from millrace.session import let
@@ -239,3 +241,67 @@ def q_registry_resolve(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("alias"), F.col("o_orderkey").alias("version"), newest.alias("n")).where("n <= 2")
     pick = lambda n: F.max(F.when(F.col("n") == n, F.col("version")))
     return rows.groupBy("alias").agg(pick(1).alias("current"), pick(2).alias("rollback_to"))
+
+
+def _messages(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"), F.concat(F.lit("\nstep "), F.col("turn").cast("string"), F.lit("\n")).alias("reasoning"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+
+
+_HEAD = "'<|im_start|>' || role || chr(10)"
+
+
+def _render_sql(head: str, body: str) -> str:
+    return f"""WITH p AS (SELECT conv_id, turn, role, {head} AS head, {body} || '<|im_end|>' AS body FROM conversations),
+    q AS (SELECT *, coalesce(sum(len(head) + len(body) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + len(head) AS s FROM p)
+    SELECT conv_id, sha256(string_agg(head || body || chr(10), '' ORDER BY turn)) AS text_sha256, coalesce(list(s::BIGINT ORDER BY turn) FILTER (role = 'assistant'), []::BIGINT[]) AS starts, coalesce(list((s + len(body))::BIGINT ORDER BY turn) FILTER (role = 'assistant'), []::BIGINT[]) AS ends FROM q GROUP BY conv_id"""
+
+
+def _rendered(spark, sf_dir, mode):
+    rows = _messages(spark, sf_dir).select("conv_id", F.inline(F.array(render.render(F.col("messages"), mode))))
+    places = lambda n: F.transform("spans", lambda s: s[n].cast("long"))
+    return rows.select("conv_id", F.sha2("text", 256).alias("text_sha256"), places("start").alias("starts"), places("end").alias("ends"))
+
+
+@register("q_render_no_thinking", _render_sql(_HEAD + " || CASE WHEN role = 'assistant' THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END", "text"))
+def q_render_no_thinking(spark, sf_dir):
+    return _rendered(spark, sf_dir, "no_thinking")
+
+
+@register("q_render_thinking", _render_sql(_HEAD, "CASE WHEN role = 'assistant' THEN '<think>' || chr(10) || 'step ' || turn || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(text, chr(10)) ELSE text END"))
+def q_render_thinking(spark, sf_dir):
+    return _rendered(spark, sf_dir, "thinking")
+
+
+@register(
+    "q_label_mask",
+    "SELECT conv_id, count(*) AS n_roles, count(*) FILTER (role = 'assistant') AS n_spans FROM conversations GROUP BY conv_id",
+)
+def q_label_mask(spark, sf_dir):
+    """Every mark ``<|im_end|>`` and every role is one token here; the mask must tell them apart."""
+    rows = _messages(spark, sf_dir).select("conv_id", "messages", F.inline(F.array(render.render(F.col("messages")))))
+    ends = F.transform("spans", lambda s: F.struct(F.lit(1).alias("id"), (s["end"] - len(render.END)).alias("start"), s["end"].alias("end")))
+    heads = F.transform(F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substring("text", i + 1, F.lit(len(render.START))) == render.START), lambda i: F.struct(F.lit(2).alias("id"), i.alias("start"), (i + len(render.START)).alias("end")))
+    labels = rows.select("conv_id", render.label_mask(ends, F.col("spans")).alias("e"), render.label_mask(heads, F.col("spans")).alias("h"))
+    return labels.select("conv_id", F.size(F.filter("h", lambda x: x == -100)).cast("long").alias("n_roles"), F.size(F.filter("e", lambda x: x == 1)).cast("long").alias("n_spans"))
+
+
+@register("q_candidate_selection")
+def q_candidate_selection(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.lower(F.substring("text", 1, 4)), 256).alias("trace"))
+    return selection.first_distinct(rows, "conv_id", "turn", "trace")
+
+
+@register("q_frames")
+def q_frames(spark, sf_dir):
+    text = F.concat(F.when(F.col("turn") % 2 == 1, "<think>").otherwise("</think>"), F.substring("text", 1, 30), F.lit("\n\nnext"))
+    return selection.reassemble(table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("chunk")), "conv_id", "turn", "chunk")
+
+
+@register("q_canonical_rows")
+def q_canonical_rows(spark, sf_dir):
+    call = F.when(F.col("event_id") % 3 == 0, "[look up(q=1)]").when(F.col("event_id") % 3 == 1, "[look up(q=]").otherwise("fine")
+    message = lambda role, value: F.struct(F.lit(role).alias("from"), value.alias("value"))
+    turns = F.array(message("user", F.col("event_type")), message("assistant", call), message("tool", F.lit("ok")), message("assistant", F.lit("done")))
+    row = F.to_json(F.struct(F.array(F.struct(F.lit("look up").alias("name"))).alias("tools"), turns.alias("messages")))
+    return table(spark, sf_dir, "events").select("event_id", R.canonical_row(row, F.col("event_id")).alias("p")).select("event_id", "p.value", "p.reason")

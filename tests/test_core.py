@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import parsing, stats
+from millrace.functions import records, render
 from millrace.functions import text as X
-from millrace.operators import dedup, events, retrieval, sampling, similarity
+from millrace.operators import dedup, events, retrieval, sampling, selection, similarity
 from millrace.sources import files
 
 
@@ -204,3 +205,46 @@ def test_bootstrap(spark):
     first = stats.cluster_bootstrap(rows, "d", "n", "c", seed=1, replicates=500).first()
     assert first == stats.cluster_bootstrap(rows.repartition(3), "d", "n", "c", seed=1, replicates=500).first()
     assert first["lower_bp"] <= first["point_bp"] == round(4 * 10_000 / 23) <= first["upper_bp"]
+
+
+def test_first_distinct_is_taking_turns(spark):
+    rng = random.Random(12)
+    data = [(t, i, rng.choice("abcdefghij")) for t in range(14) for i in range(rng.randint(1, 5))] + [(20, 0, None)]
+    taken, want = set(), {}
+    for t in range(14):
+        for _, i, h in sorted(x for x in data if x[0] == t):
+            if h not in taken:
+                taken.add(h)
+                want[t] = (i, h)
+                break
+    got = {r["t"]: (r["i"], r["h"]) for r in selection.first_distinct(spark.createDataFrame(data, "t long, i long, h string"), "t", "i", "h").collect()}
+    assert got == want
+
+
+def test_frames_and_hidden_text():
+    whole = "<think>a\n\nb</think> c\n\nd e"
+    for cut in range(1, len(whole)):
+        got = list(selection.frames([whole[:cut], whole[cut:]]))
+        assert [f for f, _ in got] == ["<think>a", "b</think> c", "d e"] and "".join(v for _, v in got) == "cd e"
+    assert list(selection.frames([])) == []
+
+
+def test_label_mask_and_render(spark):
+    rows = spark.createDataFrame([([("user", "hi", ""), ("assistant", "é!", "\nwhy\n")],)], "m array<struct<role: string, content: string, reasoning: string>>")
+    for mode, body in (("plain", "é!"), ("no_thinking", "é!"), ("thinking", "<think>\nwhy\n</think>\n\né!")):
+        r = rows.select(render.render(F.col("m"), mode).alias("r")).first()["r"]
+        a, b = r["spans"][0]
+        assert r["text"][a:b] == body + render.END and len(r["spans"]) == 1
+    tokens = spark.createDataFrame([([(1, 0, 2), (2, 2, 4), (3, 3, 6)], [(2, 5)])], "t array<struct<id: int, start: int, end: int>>, s array<struct<start: int, end: int>>")
+    assert tokens.select(render.label_mask(F.col("t"), F.col("s"))).first()[0] == [-100, 2, None]
+
+
+def test_canonical_conversation():
+    row = lambda *m, tools=("f x",): json.dumps({"tools": [{"name": t} for t in tools], "messages": [{"from": a, "value": b} for a, b in m]})
+    value, reason = records.canonical_conversation(row(("user", " q "), ("assistant", "[f x(a=1)]"), ("tool", "r"), ("assistant", "done")), 7)
+    assert reason is None and json.loads(value)["messages"][1]["tool_calls"] == [{"arguments": {"a": 1}, "id": "call_7_1_0", "name": "f_x"}]
+    for text, want in ((None, "invalid_row_shape"), ("{}", "invalid_row_shape"), (row(("user", "q"), tools=("a b", "a_b")), "invalid_tool_schema"), (row(("user", "q"), ("assistant", "[g()]")), "malformed_tool_call"), (row(("user", "q"), ("tool", "r")), "unpaired_tool_result"), (row(("assistant", "q")), "invalid_role_path")):
+        assert records.canonical_conversation(text, 0) == (None, want)
+    assert records.call_from_json('{"name": "f", "arguments": {}}', frozenset("f")) and not records.call_from_json('{"name": "g", "arguments": {}}', frozenset("f"))
+    one = [{"name": "a", "args": {"x": 1}}]
+    assert records.trajectory_matches(one, one) and not records.trajectory_matches(one, []) and not records.trajectory_matches(one, [{"name": "a", "args": {"x": 2}}])
