@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import materialize
+from millrace.session import discard, materialize
 
 __all__ = ["connected_components"]
 
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         below = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(below.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, materialize(below.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         last, seen = seen, _signature(now)
         if seen == last:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -30,17 +31,17 @@ def bm25(docs: DataFrame, row_id: str, text: str, terms: list[str], limit: int =
     """The best ``limit`` rows for any of ``terms``: ``row_id, score``, ties by id.
 
     Only counts of the query's terms leave a row, never its words; corpus figures are one
-    aggregate row.
+    aggregate row, the only thing that the driver gets.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     count = lambda t: F.size(F.filter("w", lambda x: x == t))
     counts = F.array(*map(count, terms))
     rows = docs.select(row_id, words.alias("w")).select(row_id, F.size("w").alias("len"), counts.alias("tf"))
-    figures = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    both = rows.where(F.exists("tf", lambda c: c > 0)).crossJoin(F.broadcast(figures))  # one row
+    figures = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    both = rows.where(F.exists("tf", lambda c: c > 0))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = math.log(1 + (figures["n"] - figures[f"df{i}"] + 0.5) / (figures[f"df{i}"] + 0.5))
         tf = F.col("tf")[i]
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / (figures["avg_len"] or 1.0)))
     return both.select(row_id, score.alias("score")).orderBy(F.desc("score"), row_id).limit(limit)

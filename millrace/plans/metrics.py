@@ -155,8 +155,10 @@ def q_gate_checks(spark, sf_dir):
 )
 def q_ablation_select(spark, sf_dir):
     arms = table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 3).cast("int").alias("arm")).agg(F.bround(F.avg("quality") * 10_000).cast("long").alias("bp"))
-    best = arms.agg(F.max("bp").alias("best_bp"))
-    return arms.crossJoin(F.broadcast(best)).where("best_bp - bp < 100").agg(F.min("arm").alias("arm"), F.max("best_bp").alias("best_bp"))  # one row each
+    # Of (bp, arm) pairs the best goes along with each: an aggregate of few arms.
+    found = arms.agg(F.max("bp").alias("best_bp"), F.collect_list(F.struct("arm", "bp")).alias("arms"))
+    near = F.filter("arms", lambda a: F.col("best_bp") - a["bp"] < 100)
+    return found.select(F.array_min(F.transform(near, lambda a: a["arm"])).alias("arm"), "best_bp")
 
 
 @register("q_lr_schedule", "SELECT s AS step, round(1e9::DOUBLE * CASE WHEN s >= 1000 THEN 0.0 WHEN s < 50 THEN (s + 1) / 50.0::DOUBLE ELSE 0.5 * (1.0 + cos(pi() * ((s - 50) / 950.0::DOUBLE))) END)::BIGINT AS multiplier_nano FROM (SELECT unnest(range(0, 1010)) AS s)")

@@ -119,8 +119,8 @@ def q_closest_prefix(spark, sf_dir):
 def q_balance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", sampling.hash_order("balance-1", F.col("doc_id")).alias("k"))
     avail = docs.groupBy("source").agg(F.sum("n_chars").alias("avail"), F.when(F.col("source").isin("src0", "src1"), 3).otherwise(1).alias("want"))
-    scale = avail.agg(F.min(F.expr("(avail * 10000) div want")).alias("scale"))
-    targets = avail.crossJoin(F.broadcast(scale)).select("source", F.expr("(want * scale) div 10000").alias("target"))  # one row
+    scale = avail.agg(F.min(F.expr("(avail * 10000) div want"))).first()[0] or 0
+    targets = avail.select("source", F.expr(f"(want * {scale}L) div 10000").alias("target"))
     kept = sampling.closest_prefix(docs, "source", ["k", "doc_id"], "n_chars", targets)
     out = kept.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.max("target").alias("target"))
     return out.withColumn("within_tolerance", F.abs(F.col("n_chars") - F.col("target")) * 10_000 <= 300 * F.col("target"))

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["local_session", "let", "materialize", "shared_dir"]
+__all__ = ["clean_up", "discard", "let", "local_session", "materialize", "shared_dir"]
 
 
 def local_session(cpus: int = 8, name: str = "millrace", **conf: str) -> SparkSession:
@@ -45,13 +45,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Cuts lineage with Spark's commit protocol, so a lost executor costs its running
-    tasks only, and what follows knows the table's size. The table is left for the life
-    of the application, as lazy results may still refer to it.
+    tasks only, and what follows knows the table's size. The table is left until
+    ``discard`` or ``clean_up``, as lazy results may still refer to it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["millrace_path"] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing refers to it any more."""
+    if path := table.__dict__.pop("millrace_path", None):
+        remove(table.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables of this application; results that refer to them are lost."""
+    remove(spark, f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
 
 
 def remove(spark: SparkSession, path: str) -> None:
