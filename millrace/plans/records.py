@@ -305,3 +305,84 @@ def q_canonical_rows(spark, sf_dir):
     turns = F.array(message("user", F.col("event_type")), message("assistant", call), message("tool", F.lit("ok")), message("assistant", F.lit("done")))
     row = F.to_json(F.struct(F.array(F.struct(F.lit("look up").alias("name"))).alias("tools"), turns.alias("messages")))
     return table(spark, sf_dir, "events").select("event_id", R.canonical_row(row, F.col("event_id")).alias("p")).select("event_id", "p.value", "p.reason")
+
+
+@register("q_line_excerpt", "SELECT doc_id, list_min([len(l), 8])::BIGINT AS end_line, array_to_string(l[3:8], chr(10)) AS excerpt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 3")
+def q_line_excerpt(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l")).where("size(l) >= 3")
+    return rows.select("doc_id", F.least(F.size("l"), F.lit(8)).cast("long").alias("end_line"), F.array_join(F.slice("l", 3, 6), "\n").alias("excerpt"))
+
+
+@register("q_script_language", "SELECT conv_id, CASE WHEN regexp_matches(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS lang FROM conversations GROUP BY conv_id")
+def q_script_language(spark, sf_dir):
+    zh = F.max((F.col("role") == "user") & F.col("text").rlike(r"[\x{4e00}-\x{9fff}]"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(zh, "zh").otherwise("en").alias("lang"))
+
+
+@register("q_redact_props", """SELECT event_id, regexp_replace(props, '"(page|token|secret)": *"[^"]*"', '"\\1": "[redacted]"', 'g') AS props FROM events""")
+def q_redact_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", '"(page|token|secret)": *"[^"]*"', '"$1": "[redacted]"').alias("props"))
+
+
+@register("q_shard_split")
+def q_shard_split(spark, sf_dir):
+    from millrace.operators.sampling import next_fit
+
+    rows = next_fit(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", ["doc_id"], "n_chars", 200_000)
+    return rows.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.min("doc_id").alias("first"))
+
+
+@register(
+    "q_epoch_plan",
+    "SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY sha256('epoch-' || epoch || chr(0) || doc_id), doc_id) - 1 AS position FROM documents, (SELECT unnest([0, 1, 2])::INT AS epoch)",
+)
+def q_epoch_plan(spark, sf_dir):
+    from millrace.operators.sampling import running
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("epoch"))
+    rows = rows.select("epoch", "doc_id", F.sha2(F.concat(F.lit("epoch-"), F.col("epoch").cast("string"), F.lit("\0"), F.col("doc_id").cast("string")), 256).alias("k"), F.lit(1).alias("one"))
+    return running(rows, "epoch", ["k", "doc_id"], "one").select("epoch", "doc_id", (F.col("cum") - 1).alias("position"))
+
+
+@register("q_prompt_prefix", "SELECT conv_id, min(turn) FILTER (role = 'assistant') AS first_supervised, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (turn < f)) AS prefix_sha256 FROM (SELECT *, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS f FROM conversations) GROUP BY conv_id")
+def q_prompt_prefix(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m"), F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_supervised"))
+    before = F.filter("m", lambda t: t["turn"] < F.col("first_supervised"))
+    joined = F.array_join(F.transform(before, lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return rows.select("conv_id", "first_supervised", F.when(F.size(before) > 0, F.sha2(joined, 256)).alias("prefix_sha256"))
+
+
+@register("q_family_gate", "SELECT source, count(*) AS n, round_even(avg(quality) * 10000, 0)::BIGINT AS pass_bp, avg(quality) >= 0.8 AND count(*) >= 5 AS passed FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def q_family_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    share = F.avg("quality")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.bround(share * 10_000).cast("long").alias("pass_bp"), ((share >= 0.8) & (F.count("*") >= 5)).alias("passed"))
+
+
+@register("q_lineage_gate", "SELECT bool_and(ok) AS passed, count(*) FILTER (NOT ok) AS n_failed FROM (SELECT o_totalprice > 0 AND c.c_custkey IS NOT NULL AND o_orderstatus IN ('O', 'F', 'P') AS ok FROM orders LEFT JOIN customer c ON o_custkey = c.c_custkey)")
+def q_lineage_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    ok = (F.col("o_totalprice") > 0) & F.col("c_custkey").isNotNull() & F.col("o_orderstatus").isin("O", "F", "P")
+    return rows.select(ok.alias("ok")).agg(F.every("ok").alias("passed"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+@register("q_nested_user_text", "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS user_text FROM conversations GROUP BY conv_id")
+def q_nested_user_text(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.struct(turns.alias("messages")).alias("body"))).alias("j"))
+    return rows.select("conv_id", R.user_text("j").alias("user_text"))
+
+
+@register(
+    "q_replace_block",
+    """SELECT doc_id, CASE WHEN a > 0 AND b > a THEN list_concat(list_concat(w[1:a - 1], ['<>']), w[b + 1:len(w)]) ELSE w END AS tokens FROM (SELECT doc_id, w, list_position(w, 'the') AS a, list_position(w, 'and') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:40] AS w FROM documents))""",
+)
+def q_replace_block(spark, sf_dir):
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 40)
+
+    def cut(w):
+        a, b = F.array_position(w, "the").cast("int"), F.array_position(w, "and").cast("int")
+        return F.when((a > 0) & (b > a), F.concat(F.slice(w, F.lit(1), a - 1), F.array(F.lit("<>")), F.slice(w, b + 1, F.size(w)))).otherwise(w)
+
+    return table(spark, sf_dir, "documents").select("doc_id", let(words, cut).alias("tokens"))
