@@ -386,3 +386,23 @@ def q_replace_block(spark, sf_dir):
         return F.when((a > 0) & (b > a), F.concat(F.slice(w, F.lit(1), a - 1), F.array(F.lit("<>")), F.slice(w, b + 1, F.size(w)))).otherwise(w)
 
     return table(spark, sf_dir, "documents").select("doc_id", let(words, cut).alias("tokens"))
+
+
+@register("q_request_timing", "SELECT event_id, round(value * 1000)::BIGINT AS latency_us, round(value * 200)::BIGINT AS ttft_us, CASE WHEN user_id > 1 THEN (round(value * 1000)::BIGINT - round(value * 200)::BIGINT) // (user_id - 1) END AS tpot_us FROM events")
+def q_request_timing(spark, sf_dir):
+    us = lambda k: F.round(F.col("value") * k).cast("long")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", us(1000).alias("latency_us"), us(200).alias("ttft_us"))
+    return rows.select("event_id", "latency_us", "ttft_us", F.expr("CASE WHEN user_id > 1 THEN (latency_us - ttft_us) div (user_id - 1) END").alias("tpot_us"))
+
+
+@register("q_failure_class", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN starts_with(text, '{') AND NOT ends_with(text, '}') THEN 'truncated_json' WHEN contains(text, '<think>') THEN 'leaked_reasoning' WHEN len(text) > 400 THEN 'overlong' ELSE 'none' END AS failure FROM conversations")
+def q_failure_class(spark, sf_dir):
+    t = F.col("text")
+    failure = F.when(F.trim(t) == "", "empty").when(t.startswith("{") & ~t.endswith("}"), "truncated_json").when(t.contains("<think>"), "leaked_reasoning").when(F.length(t) > 400, "overlong").otherwise("none")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", failure.alias("failure"))
+
+
+@register("q_text_clean", "SELECT page_id, replace(regexp_replace(replace(trim(url) || ' [title] x  [a]', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS cleaned FROM pages")
+def q_text_clean(spark, sf_dir):
+    marked = F.replace(F.concat(F.trim("url"), F.lit(" [title] x  [a]")), F.lit(" [title]"), F.lit(". "))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.regexp_replace(marked, r"\[.*?\]", ""), F.lit("  "), F.lit(" ")).alias("cleaned"))
