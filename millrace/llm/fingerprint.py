@@ -26,11 +26,23 @@ BASES = (911_382_323, 972_663_749)
 WINDOW, KEPT, DIGITS = 16, 48, 10
 
 
+_P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x, below 2**64, brought below 2**31 + 8 in place, equal modulo the Mersenne prime."""
+    for _ in range(2):
+        high = x >> _SHIFT
+        x &= _P
+        x += high
+    return x
+
+
 def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo the Mersenne prime, for x below 2**64."""
-    x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+    """x, below 2**64, modulo the prime, in place."""
+    _fold(x)
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
 
 
 class _Powers:
@@ -52,26 +64,39 @@ class PrefixHashes:
     """Prefix arrays of a text's code points."""
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        codes += np.uint64(1)
         self.n = len(codes)
         self.sums = []
         for powers, _ in _POWERS:
             terms = codes * powers.upto(self.n)  # below 2**52
-            terms = (terms & PRIME) + (terms >> np.uint64(31))  # below 2**32: sums of 2**32 of them fit
-            sums = np.zeros(self.n + 1, np.uint64)
+            high = terms >> _SHIFT
+            terms &= _P
+            terms += high  # below 2**32: sums of 2**32 of them fit
+            sums = np.empty(self.n + 1, np.uint64)
+            sums[0] = 0
             np.cumsum(terms, out=sums[1:])
             self.sums.append(sums)
 
     def spans(self, starts: slice, ends: slice) -> np.ndarray:
         """62-bit hashes of the spans from each start to its end."""
-        out = np.uint64(0)
+        halves = []
         for sums, (_, inverse) in zip(self.sums, _POWERS, strict=True):
-            at = inverse.upto(self.n + 1)[starts]
-            out = (out << np.uint64(31)) | _mod(_mod(sums[ends] - sums[starts]) * at)
-        return out
+            span = _fold(sums[ends] - sums[starts])
+            span *= inverse.upto(self.n + 1)[starts]
+            halves.append(_mod(span))
+        first, second = halves
+        first <<= _SHIFT
+        first |= second
+        return first
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(slice(start, start + 1), slice(start + length, start + length + 1))[0])
+        """The hash of one span, as ``spans`` gives it."""
+        out = 0
+        for sums, (_, inverse) in zip(self.sums, _POWERS, strict=True):
+            difference = (int(sums[start + length]) - int(sums[start])) % PRIME
+            out = out << 31 | difference * int(inverse.upto(self.n + 1)[start]) % PRIME
+        return out
 
     def equal(self, start: int, other: PrefixHashes, at: int, length: int) -> bool:
         """Whether two spans are equal, but for a chance of about length / 2**62."""
@@ -94,10 +119,12 @@ class PrefixHashes:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads hashes over the digits that fingerprints keep."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(64 - 4 * DIGITS)
+    """Spreads hashes over the digits that fingerprints keep, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x >>= np.uint64(64 - 4 * DIGITS)
+    return x
 
 
 def least(parts: list[np.ndarray], kept: int = KEPT) -> np.ndarray:
@@ -114,16 +141,17 @@ def least(parts: list[np.ndarray], kept: int = KEPT) -> np.ndarray:
 
 
 def written(hashes: np.ndarray) -> str:
-    return "".join(f"{h:0{DIGITS}x}" for h in hashes.tolist())
+    return "".join([f"{h:0{DIGITS}x}" for h in hashes.tolist()])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of windows in common, 0 to 1; texts without a window are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    # The least hashes of the union are a fair sample of it; beyond the shorter list's reach nothing is known of it.
-    union = np.union1d(a, b)[: max(len(a), len(b))]
-    both = len(np.intersect1d(np.intersect1d(a, b), union))
+    # The least hashes of the union are a fair sample of it; beyond the longer list's reach nothing is known of it.
+    first, second = set(a.tolist()), set(b.tolist())
+    union = sorted(first | second)[: max(len(a), len(b))]
+    both = sum(h in first and h in second for h in union)
     return 2 * both / (len(union) + both)
 
 
