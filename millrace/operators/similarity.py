@@ -17,7 +17,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 PERMUTATIONS, ROWS = 128, 4
 PRIME = (1 << 61) - 1
 #: Members of a band's bucket that are compared pair by pair, and leaders of a round in a larger one.
-PAIRWISE, LEADERS = 24, 4
+PAIRWISE, LEADERS = 64, 4
 
 
 def permutations(n: int = PERMUTATIONS, seed: str = "minhash-v1") -> list[tuple[int, int]]:
