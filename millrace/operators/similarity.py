@@ -29,12 +29,13 @@ def permutations(n: int = PERMUTATIONS, seed: str = "minhash-v1") -> list[tuple[
     return out
 
 
-def _mulmod(a: np.ndarray, b: int) -> np.ndarray:
+def _mulmod(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """a * b modulo 2**61 - 1 in 64-bit words: halves, then folding."""
-    lo, hi = a & np.uint64(0x7FFFFFFF), a >> np.uint64(31)
-    bl, bh = np.uint64(b & 0x7FFFFFFF), np.uint64(b >> 31)
+    b = np.asarray(b, dtype=np.uint64)
+    half, low = np.uint64(31), np.uint64(0x7FFFFFFF)
+    lo, hi, bl, bh = a & low, a >> half, b & low, b >> half
     mid = lo * bh + hi * bl  # below 2**62
-    out = hi * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31))
+    out = hi * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)
     out = (out & np.uint64(PRIME)) + (out >> np.uint64(61))
     x = lo * bl
     out = out + (x & np.uint64(PRIME)) + (x >> np.uint64(61))
@@ -43,8 +44,12 @@ def _mulmod(a: np.ndarray, b: int) -> np.ndarray:
 
 def signature(hashes: np.ndarray, perms: list[tuple[int, int]]) -> np.ndarray:
     """Minimum of ``(a * h + b) mod p`` over the hashes, for each permutation."""
-    h = hashes % np.uint64(PRIME)
-    return np.array([int(((_mulmod(h, a) + np.uint64(b)) % np.uint64(PRIME)).min()) for a, b in perms], dtype=np.uint64)
+    a, b = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*perms, strict=True))
+    least = np.full(len(perms), PRIME, np.uint64)
+    for i in range(0, len(hashes), 1024):  # all permutations of some hashes at a time
+        part = hashes[None, i : i + 1024] % np.uint64(PRIME)
+        least = np.minimum(least, ((_mulmod(part, a) + b) % np.uint64(PRIME)).min(1))
+    return least
 
 
 def with_signatures(rows: DataFrame, perms: int = PERMUTATIONS) -> DataFrame:
