@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -40,6 +40,19 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def bounded(rows: DataFrame, key: str, place: Column, most: int, most_keys: int) -> DataFrame:
+    """Up to ``most`` rows of each of the ``most_keys`` commonest values of ``key``, those of least ``place`` (a 64-bit hash).
+
+    Rows are counted first, and only those below the place that about 2.5 times ``most``
+    of them reach go on: a frequent value sends no more rows to a task than a rare one,
+    and the least ``most`` are among them.
+    """
+    counts = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__c")).orderBy(F.desc("__c"), "__k").limit(most_keys)
+    reach = F.least(F.lit(2.5 * (most + 30)) / F.col("__c"), F.lit(1.0)) * 2 - 1
+    near = rows.withColumn("__h", place).join(counts, F.col(key) == F.col("__k")).where(F.col("__h") / float(1 << 63) <= reach)
+    return near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__h"))).where(F.col("__n") <= most).drop("__n", "__h", "__k", "__c")
+
+
 def replace(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with some of its columns replaced, types as they were."""
     arrays = [columns[n].cast(batch.schema.field(n).type) if n in columns else batch.column(i) for i, n in enumerate(batch.schema.names)]

@@ -15,14 +15,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import gru
-from millrace.llm.common import documents, fold, map_batches
+from millrace.llm.common import bounded, documents, fold, map_batches
 
 FOLDS, HELD_OUT = 5, 0
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters; longer ones are taken in pieces.
+WORDS = re.compile(r"[^\W\d_]{1,40}")
 #: Words of a window, and words from one window's start to the next's.
 WIDTH, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 12
@@ -35,7 +36,6 @@ MIN_DOCS, MIN_SHARE, MAX_WORDS = 3, 0.004, 20_000
 EPOCHS, LANES_STEP, RATE = 14, 96, 0.01
 #: Words whose gate inputs a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 200_000
-WORD_BYTES = 40
 
 
 def words_of(text: str) -> list[str]:
@@ -44,7 +44,7 @@ def words_of(text: str) -> list[str]:
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed trigrams of all words in a row, where each word's start, and how many."""
-    parts = [b"^" + w.encode()[:WORD_BYTES] + b"$" for w in words]
+    parts = [b"^" + w.encode() + b"$" for w in words]
     data = np.frombuffer(b"".join(parts) + b"\0\0", np.uint8).astype(np.int64)
     h = ((data[:-2] * 961 + data[1:-1] * 31 + data[2:]) * 2654435761 >> 8) % TRIGRAMS
     sizes = np.array([len(p) for p in parts])
@@ -278,8 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Net:
     """
     marked = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    first = Window.partitionBy("y").orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).select(F.col("doc_id").alias("__id"), "y")
+    chosen = bounded(marked, "y", F.xxhash64(F.lit("toxic"), "doc_id"), SAMPLE_ROWS, 2).select(F.col("doc_id").alias("__id"), "y")
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).where("text is not null").select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     found = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(4 * SAMPLE_ROWS).collect()
     return train([r["text"] for r in found], [r["y"] for r in found])
