@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import gru
-from millrace.llm.common import documents, fold, map_batches
+from millrace.llm.common import bounded, documents, fold, map_batches
 
 FOLDS, HELD_OUT = 4, 2
 HIDDEN = 12
@@ -29,12 +29,11 @@ TRAIN_STEPS, TRAIN_LANES, TRAIN_STRETCH, RATE = 160, 96, 48, 0.02
 def sample(docs: DataFrame, key: str, rows: int, chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text`` of up to ``rows`` rows of each value of ``key``, those of least hash.
 
-    Rows are chosen by id and key alone, each partition sends on its own least ones, and
-    only chosen rows' texts (``chars`` code points from a place given by the hash) go on.
+    Rows are chosen by id and key alone, of the ``MAX_LANGS`` commonest values, and only
+    chosen rows' texts (``chars`` code points from a place given by the hash) go on.
     """
     h = F.xxhash64(F.lit("sample"), F.col(doc_id))
-    first = Window.partitionBy(key).orderBy(h, doc_id)
-    ids = docs.where(F.col(key).isNotNull() & F.col(doc_id).isNotNull()).select(key, doc_id).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= rows)
+    ids = bounded(docs.where(F.col(key).isNotNull() & F.col(doc_id).isNotNull()).select(key, doc_id), key, h, rows, MAX_LANGS)
     chosen = ids.select(F.col(doc_id).alias("__id")).distinct()
     at = F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))) + 1
     # At most rows * MAX_LANGS ids: the bound of what is broadcast.
