@@ -119,10 +119,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     without an id can't be told apart by it and stay.
     """
     found = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(found, docs[doc_id] == found["__keep"], "left").where(F.col("__keep").isNotNull() | F.col(doc_id).isNull())
-    first = F.row_number().over(Window.partitionBy("__keep").orderBy(F.xxhash64(F.col(text)), F.col(text)))
-    with_id = kept.where(F.col("__keep").isNotNull()).withColumn("__n", first).where("__n = 1")
-    return with_id.select(*docs.columns).unionByName(kept.where(F.col("__keep").isNull()).select(*docs.columns))
+    with_id = docs.where(F.col(doc_id).isNotNull())
+    kept = with_id.join(found, with_id[doc_id] == found["__keep"], "left_semi")
+    # By the join's own key, so that texts aren't dealt a second time.
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(F.col(text)), F.col(text)))
+    kept = kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
