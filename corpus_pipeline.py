@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, quality, secret_scan, simhash
+from millrace.llm import bpe, mixing, near, quality, secret_scan
 from millrace.session import materialize
 
 #: No SQL: components of a near-duplicate graph, entropy windows and BPE are beyond it.
@@ -30,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8): that of smallest id."""
+    return near.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
