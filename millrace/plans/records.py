@@ -194,14 +194,24 @@ def q_tag_calls(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", calls.alias("calls"))
 
 
-@register("q_call_match", "SELECT event_id, event_id % 3 <> 2 AS matched FROM events WHERE event_id < 3000")
-def q_call_match(spark, sf_dir):
+def _call_match(events):
     expected = F.lit('[{"name":"a","args":{"x":1},"group":1},{"name":"b","args":{},"mode":"subset","group":1},{"name":"c","args":{}}]')
     good = F.lit('[{"name":"b","args":{"y":2}},{"name":"a","args":{"x":1}},{"name":"c","args":{}}]')
     plain = F.lit('[{"name":"a","args":{"x":1}},{"name":"b","args":{}},{"name":"c","args":{}}]')
     wrong = F.lit('[{"name":"c","args":{}},{"name":"a","args":{"x":1}},{"name":"b","args":{}}]')
     actual = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, plain).otherwise(wrong)
-    return table(spark, sf_dir, "events").where("event_id < 3000").select("event_id", R.calls_match(expected, actual).alias("matched"))
+    return events.select("event_id", R.calls_match(expected, actual).alias("matched"))
+
+
+@register("q_call_match", "SELECT event_id, event_id % 3 <> 2 AS matched FROM events WHERE event_id < 3000")
+def q_call_match(spark, sf_dir):
+    """The events that its SQL takes; ``q_call_match_all`` takes all."""
+    return _call_match(table(spark, sf_dir, "events").where("event_id < 3000"))
+
+
+@register("q_call_match_all", "SELECT event_id, event_id % 3 <> 2 AS matched FROM events")
+def q_call_match_all(spark, sf_dir):
+    return _call_match(table(spark, sf_dir, "events"))
 
 
 @register("q_toy_sequences", "SELECT i AS sequence_id, list_transform(range(0, 16), lambda p: ((i * 7 + (1 + i % 5) * p) % 97)::INT) AS input_ids FROM (SELECT unnest(range(0, 500)) AS i)")
