@@ -145,7 +145,21 @@ def q_unpack(spark, sf_dir):
     n AS (SELECT *, sum(CASE WHEN x <> -100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM u) SELECT s.doc_id, coalesce(list(CASE WHEN x = -100 OR k <= 10 THEN x ELSE -100 END::INT ORDER BY p) FILTER (p IS NOT NULL), []::INT[]) AS labels FROM s LEFT JOIN n ON s.doc_id = n.doc_id GROUP BY s.doc_id""",
 )
 def q_trim_supervision(spark, sf_dir):
-    ids = F.transform(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 60), lambda w: F.when(F.length(w) % 3 == 0, -100).otherwise(F.length(w)))
+    """The first 60 words, as its SQL; ``q_trim_supervision_all`` takes all."""
+    return _trimmed(spark, sf_dir, F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 60))
+
+
+@register(
+    "q_trim_supervision_all",
+    """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda w: CASE WHEN len(w) % 3 = 0 THEN -100 ELSE len(w) END::INT) AS l FROM documents), u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS x FROM s),
+    n AS (SELECT *, sum(CASE WHEN x <> -100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM u) SELECT s.doc_id, coalesce(list(CASE WHEN x = -100 OR k <= 10 THEN x ELSE -100 END::INT ORDER BY p) FILTER (p IS NOT NULL), []::INT[]) AS labels FROM s LEFT JOIN n ON s.doc_id = n.doc_id GROUP BY s.doc_id""",
+)
+def q_trim_supervision_all(spark, sf_dir):
+    return _trimmed(spark, sf_dir, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+
+
+def _trimmed(spark, sf_dir, words):
+    ids = F.transform(words, lambda w: F.when(F.length(w) % 3 == 0, -100).otherwise(F.length(w)))
     return table(spark, sf_dir, "documents").select("doc_id", let(ids, lambda x: R.trim_supervision(x, F.lit(10))).alias("labels"))
 
 
@@ -389,8 +403,19 @@ def q_nested_user_text(spark, sf_dir):
     """SELECT doc_id, CASE WHEN a > 0 AND b > a THEN list_concat(list_concat(w[1:a - 1], ['<>']), w[b + 1:len(w)]) ELSE w END AS tokens FROM (SELECT doc_id, w, list_position(w, 'the') AS a, list_position(w, 'and') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:40] AS w FROM documents))""",
 )
 def q_replace_block(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 40)
+    """The first 40 words, as its SQL; ``q_replace_block_all`` takes all."""
+    return _block_replaced(spark, sf_dir, F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 40))
+
+
+@register(
+    "q_replace_block_all",
+    """SELECT doc_id, CASE WHEN a > 0 AND b > a THEN list_concat(list_concat(w[1:a - 1], ['<>']), w[b + 1:len(w)]) ELSE w END AS tokens FROM (SELECT doc_id, w, list_position(w, 'the') AS a, list_position(w, 'and') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))""",
+)
+def q_replace_block_all(spark, sf_dir):
+    return _block_replaced(spark, sf_dir, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+
 
+def _block_replaced(spark, sf_dir, words):
     def cut(w):
         a, b = F.array_position(w, "the").cast("int"), F.array_position(w, "and").cast("int")
         return F.when((a > 0) & (b > a), F.concat(F.slice(w, F.lit(1), a - 1), F.array(F.lit("<>")), F.slice(w, b + 1, F.size(w)))).otherwise(w)

@@ -176,6 +176,20 @@ def q_pad_mask(spark, sf_dir):
     return rows.select("doc_id", F.concat("t", pad).alias("input_ids"), F.concat(F.transform("t", lambda x: F.lit(1)), pad).alias("attention_mask"))
 
 
+@register(
+    "q_pad_mask_all",
+    """SELECT doc_id, CASE WHEN ok THEN list_concat(t, list_transform(range(0, 2048 - len(t)), lambda x: 0::INT)) END AS input_ids, CASE WHEN ok THEN list_concat(list_transform(t, lambda x: 1::INT), list_transform(range(0, 2048 - len(t)), lambda x: 0::INT)) END AS attention_mask, CASE WHEN NOT ok THEN 'length_outside_contract' END AS reason
+    FROM (SELECT doc_id, t, len(t) BETWEEN 2 AND 2048 AS ok FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda w: len(w)::INT) AS t FROM documents))""",
+)
+def q_pad_mask_all(spark, sf_dir):
+    """Whole texts of 2 to 2048 words, padded; others are rejected, none is cut. ``q_pad_mask`` takes the first 32 words, as its SQL."""
+    ids = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.length(w))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("t")).withColumn("ok", F.size("t").between(2, 2048))
+    pad = F.array_repeat(F.lit(0), F.lit(2048) - F.size("t"))
+    padded, mask = F.concat("t", pad), F.concat(F.transform("t", lambda x: F.lit(1)), pad)
+    return rows.select("doc_id", F.when(F.col("ok"), padded).alias("input_ids"), F.when(F.col("ok"), mask).alias("attention_mask"), F.when(~F.col("ok"), "length_outside_contract").alias("reason"))
+
+
 @register(
     "q_chatml_render",
     """SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id""",
