@@ -194,7 +194,7 @@ def q_think_parse(spark, sf_dir):
 
 @register("q_call_parse")
 def q_call_parse(spark, sf_dir):
-    text = F.concat(F.lit("[search(query='"), F.regexp_replace(F.substring("text", 1, 40), r"['\\\n]", ""), F.lit("', limit="), F.col("turn").cast("string"), F.lit("), open(id=[1, 2])")) 
+    text = F.concat(F.lit("[search(query='"), F.regexp_replace("text", r"['\\\n]", ""), F.lit("', limit="), F.col("turn").cast("string"), F.lit("), open(id=[1, 2])")) 
     raw = F.when(F.col("turn") % 3 == 2, text).otherwise(F.concat(text, F.lit("]")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.parse_calls(raw).alias("p")).select("conv_id", "turn", "p.value", "p.status")
 

@@ -312,13 +312,13 @@ def q_label_mask(spark, sf_dir):
 
 @register("q_candidate_selection")
 def q_candidate_selection(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.lower(F.substring("text", 1, 4)), 256).alias("trace"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.lower("text"), 256).alias("trace"))
     return selection.first_distinct(rows, "conv_id", "turn", "trace")
 
 
 @register("q_frames")
 def q_frames(spark, sf_dir):
-    text = F.concat(F.when(F.col("turn") % 2 == 1, "<think>").otherwise("</think>"), F.substring("text", 1, 30), F.lit("\n\nnext"))
+    text = F.concat(F.when(F.col("turn") % 2 == 1, "<think>").otherwise("</think>"), F.col("text"), F.lit("\n\nnext"))
     return selection.reassemble(table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("chunk")), "conv_id", "turn", "chunk")
 
 

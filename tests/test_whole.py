@@ -19,3 +19,13 @@ def test_no_word_is_cut(spark):
     assert all(len(r["input_ids"]) == 2048 and sum(r["attention_mask"]) == words[r["doc_id"]] for r in padded if not r["reason"])
     blocks = registry.QUERIES["q_replace_block_all"](spark, sf).collect()
     assert sum("<>" in r["tokens"] for r in blocks) == 415
+
+
+def test_message_texts_are_whole(spark, tmp_path):
+    start = "the same forty characters start both of these messages, which then "
+    rows = [(1, 1, "user", start + "differ"), (1, 2, "user", start + "part"), (2, 2, "user", start + "go on")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len({r["trace"] for r in run("q_candidate_selection")}) == 2
+    assert start + "go on" in "".join(r["frame"] for r in run("q_frames") if r["conv_id"] == 2)
+    assert any(start + "differ" in str(r["value"]) for r in run("q_call_parse"))
