@@ -64,3 +64,11 @@ def test_a_pair_at_exactly_four_fifths_links(spark):
     assert len(shingles(" ".join(a)) & shingles(" ".join(b))) == 8 and len(shingles(" ".join(a)) | shingles(" ".join(b))) == 10
     table = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "other words that are like none of those")], SCHEMA)
     assert sorted(r["doc_id"] for r in near.keep_one(table).collect()) == [1, 3]
+
+
+def test_stage_tells_rows_of_one_id_apart_and_groups_idless_rows(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    rows = [(1, x), (1, y), (1, y), (2, y + " end"), (None, z), (None, z), (None, z + " end"), (None, x)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    assert sorted(kept, key=str) == [(1, "x"), (1, "y"), (None, "z")]
