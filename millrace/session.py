@@ -9,7 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["clean_up", "discard", "let", "local_session", "materialize", "shared_dir"]
+__all__ = ["BATCH_BYTES", "bound_batches", "clean_up", "discard", "fresh", "let", "local_session", "materialize", "shared_dir"]
+
+#: Bytes that an Arrow batch carries to Python, so that memory doesn't follow the number of long texts.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cpus: int = 8, name: str = "millrace", **conf: str) -> SparkSession:
@@ -22,6 +25,7 @@ def local_session(cpus: int = 8, name: str = "millrace", **conf: str) -> SparkSe
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,11 +35,14 @@ def local_session(cpus: int = 8, name: str = "millrace", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can read and write.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the master is
+    local a temporary folder is made and set as the checkpoint folder; a cluster without
+    the setting is an error, as no machine's own folder would do there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,6 +74,26 @@ def clean_up(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, for the whole session, unless the caller has done so.
+
+    The setting is read when a query is run, so it can't be scoped to one plan.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "-1"):  # the default, or unbounded
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system of that path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
