@@ -1,4 +1,4 @@
-"""What the operators share: words, folds, Arrow batches of whole texts."""
+"""What the operators share: words, folds, Arrow batches of whole texts, bounded samples."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import bound_batches, materialize
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Bytes of text that an Arrow batch carries to Python, so that memory doesn't follow the number of long texts.
-BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def kind(df: DataFrame, column: str) -> str:
+    """A column's type as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` one batch at a time, batches bounded in bytes as well as rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,17 +45,36 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def bounded(rows: DataFrame, key: str, place: Column, most: int, most_keys: int) -> DataFrame:
-    """Up to ``most`` rows of each of the ``most_keys`` commonest values of ``key``, those of least ``place`` (a 64-bit hash).
+def bounded(rows: DataFrame, key: str, doc_id: str, most: int, total: int) -> DataFrame:
+    """``k, i``: up to ``most`` distinct ids of each value ``k`` of ``key``, those of least hash.
 
-    Rows are counted first, and only those below the place that about 2.5 times ``most``
-    of them reach go on: a frequent value sends no more rows to a task than a rare one,
-    and the least ``most`` are among them.
+    A value gets ``total`` divided by the number of values, if that is less; more values
+    than ``total`` are an error. Null keys and ids take no part; rows that repeat an id
+    count once. Distinct ids are estimated first, and only those below the hash that
+    about 2.5 times ``most`` of them reach go on, so that a frequent value sends no more
+    rows to a task than a rare one. The estimate errs by a few percent, and hashes are
+    uniform: that a value comes short of ids it has is less likely than 1e-30.
+    """
+    pairs = rows.select(F.col(key).alias("k"), F.col(doc_id).alias("i")).where("k is not null and i is not null")
+    counts = materialize(pairs.groupBy(F.col("k").alias("v")).agg(F.approx_count_distinct("i").alias("c")), "counts")
+    values = counts.count()
+    if values > total:
+        raise ValueError(f"{values} values of {key}, more than the sample's {total} rows")
+    most = min(most, total // max(values, 1))
+    reach = F.least(F.lit(2.5 * (most + 30)) / F.col("c"), F.lit(1.0)) * 2 - 1
+    near = pairs.withColumn("h", F.xxhash64(F.lit("sample"), "i")).join(counts, F.col("k") == F.col("v")).where(F.col("h") / float(1 << 63) <= reach)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("h", "i"))
+    return near.select("k", "i", "h").distinct().withColumn("n", nth).where(F.col("n") <= most).select("k", "i")
+
+
+def sampled(rows: DataFrame, chosen: DataFrame) -> list:
+    """``k, i, t`` of the chosen ``k, i``: whole texts of ``rows`` (``i, t``, or ``k, i, t``), in a fixed order.
+
+    Of rows that repeat key and id the one whose text has the least hash is taken, by a
+    combinable minimum. ``chosen`` is bounded, and so is what the driver gets.
     """
-    counts = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__c")).orderBy(F.desc("__c"), "__k").limit(most_keys)
-    reach = F.least(F.lit(2.5 * (most + 30)) / F.col("__c"), F.lit(1.0)) * 2 - 1
-    near = rows.withColumn("__h", place).join(counts, F.col(key) == F.col("__k")).where(F.col("__h") / float(1 << 63) <= reach)
-    return near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__h"))).where(F.col("__n") <= most).drop("__n", "__h", "__k", "__c")
+    met = rows.where("t is not null").join(F.broadcast(chosen), [c for c in ("k", "i") if c in rows.columns])
+    return met.groupBy("k", "i").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.col("t")))["t"].alias("t")).orderBy("k", "i").collect()
 
 
 def replace(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BATCH_BYTES, documents
+from millrace.llm.common import documents
+from millrace.session import BATCH_BYTES
 
 PRIME = (1 << 31) - 1
 #: A base for each of the two hashes that make up 62 bits.

@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Both directions read a stretch of bytes; the two states at a byte give the probabilities
-of the languages there; a document's are the mean over all its bytes. Trained in numpy by
-backpropagation through time on the languages of a bounded sample of labelled rows.
+Both directions read a stretch of bytes and some of what is before and after it; the two
+states at a byte give the probabilities of the languages there; a document's are the mean
+over all its bytes. Trained in numpy by backpropagation through time on the languages of
+a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -13,31 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import gru
-from millrace.llm.common import bounded, documents, fold, map_batches
+from millrace.llm.common import bounded, documents, fold, kind, map_batches, sampled
 
 FOLDS, HELD_OUT = 4, 2
 HIDDEN = 12
-#: Bytes of a stretch: states start anew at each, so all stretches of all texts run side by side.
-STRETCH = 128
+#: Bytes of a stretch, and of the text on either side that its states read first: so all stretches of all texts run side by side.
+STRETCH, MARGIN = 128, 16
 LANES = 4096
 PAD = 256
-#: The bound of the training sample: rows per language, code points of a row, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGS = 250, 1200, 200
-TRAIN_STEPS, TRAIN_LANES, TRAIN_STRETCH, RATE = 160, 96, 48, 0.02
-
-
-def sample(docs: DataFrame, key: str, rows: int, chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, text`` of up to ``rows`` rows of each value of ``key``, those of least hash.
-
-    Rows are chosen by id and key alone, of the ``MAX_LANGS`` commonest values, and only
-    chosen rows' texts (``chars`` code points from a place given by the hash) go on.
-    """
-    h = F.xxhash64(F.lit("sample"), F.col(doc_id))
-    ids = bounded(docs.where(F.col(key).isNotNull() & F.col(doc_id).isNotNull()).select(key, doc_id), key, h, rows, MAX_LANGS)
-    chosen = ids.select(F.col(doc_id).alias("__id")).distinct()
-    at = F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))) + 1
-    # At most rows * MAX_LANGS ids: the bound of what is broadcast.
-    return docs.join(F.broadcast(chosen), docs[doc_id] == chosen["__id"]).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(doc_id, key, F.substring(text, at.cast("int"), F.lit(chars)).alias("text"))
+#: The bound of the training sample: rows per language, and in all. Their texts are whole.
+SAMPLE_ROWS, SAMPLE_TOTAL = 250, 20_000
+TRAIN_STEPS, TRAIN_LANES, TRAIN_STRETCH, RATE = 160, 64, 96, 0.02
 
 
 def train(texts: list[bytes], langs: list[str], seed: int = 7) -> dict:
@@ -91,29 +78,34 @@ class Scorer:
     def __init__(self, w: dict):
         h = w["uf"].shape[0]
         self.names = w["names"]
+        self.lanes = max(64, min(LANES, LANES * 8 // max(len(self.names), 1)))  # bounds ``ahead``
         self.tables = []
         for x in (w["xf"], w["xb"]):
             x = x.copy()
             x[PAD] = 0
             x[PAD, :h] = gru.KEEP  # a state before the first byte stays zero
             self.tables.append(np.ascontiguousarray(x.T))
-        self.steps = [gru.Steps(w["uf"], LANES), gru.Steps(w["ub"], LANES)]
+        self.steps = [gru.Steps(w["uf"], self.lanes), gru.Steps(w["ub"], self.lanes)]
         self.of, self.ob, self.c = np.ascontiguousarray(w["of"].T), np.ascontiguousarray(w["ob"].T), w["c"][:, None]
-        self.ahead = np.empty((STRETCH, len(self.names), LANES), np.float32)
+        self.ahead = np.empty((STRETCH, len(self.names), self.lanes), np.float32)
 
     def _lanes(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sums, over each lane's bytes, of the languages' probabilities at the byte."""
+        """Sums, over each lane's own bytes (from ``MARGIN`` on), of the languages' probabilities at the byte."""
         f, b = self.steps
         f.state[:], b.state[:] = 0, 0
-        last = int(lengths.max())
-        for t in range(last):
+        last, full = int(lengths.max()), int(lengths.min())
+        for t in range(MARGIN + last):
             np.take(self.tables[0], codes[t], axis=1, out=f.gates, mode="clip")
-            np.dot(self.of, f.step(), out=self.ahead[t])
-        sums = np.zeros((len(self.names), LANES), np.float32)
-        full = int(lengths.min())
-        for t in range(last - 1, -1, -1):
-            np.take(self.tables[1], codes[t], axis=1, out=b.gates, mode="clip")
-            p = self.ob @ b.step()
+            state = f.step()
+            if t >= MARGIN:
+                np.dot(self.of, state, out=self.ahead[t - MARGIN])
+        sums = np.zeros((len(self.names), self.lanes), np.float32)
+        for t in range(last + MARGIN - 1, -1, -1):
+            np.take(self.tables[1], codes[t + MARGIN], axis=1, out=b.gates, mode="clip")
+            state = b.step()
+            if t >= last:
+                continue
+            p = self.ob @ state
             p += self.ahead[t]
             p += self.c
             p -= p.max(0)
@@ -135,15 +127,15 @@ class Scorer:
         at, size = starts[doc] + nth * STRETCH, np.minimum(sizes[doc] - nth * STRETCH, STRETCH)
         order = np.argsort(-size, kind="stable")
         out = np.zeros((len(texts), len(self.names)))
-        for i in range(0, len(order), LANES):
-            lanes = order[i : i + LANES]
-            lengths = np.zeros(LANES, np.int64)
-            lengths[: len(lanes)] = size[lanes]
-            first = np.zeros(LANES, np.int64)
-            first[: len(lanes)] = at[lanes]
-            step = np.arange(STRETCH)[:, None]
-            codes = data[np.minimum(first + step, len(data) - 1)].astype(np.intp)
-            codes[step >= lengths] = PAD
+        step = np.arange(-MARGIN, STRETCH + MARGIN)[:, None]
+        for i in range(0, len(order), self.lanes):
+            lanes = order[i : i + self.lanes]
+            lengths, first, low, high = (np.zeros(self.lanes, np.int64) for _ in range(4))
+            lengths[: len(lanes)], first[: len(lanes)] = size[lanes], at[lanes]
+            low[: len(lanes)], high[: len(lanes)] = starts[doc[lanes]], starts[doc[lanes]] + sizes[doc[lanes]]
+            places = first + step
+            codes = data[np.clip(places, 0, len(data) - 1)].astype(np.intp)
+            codes[(places < low) | (places >= high)] = PAD
             sums = self._lanes(codes, lengths)
             np.add.at(out, doc[lanes], sums[:, : len(lanes)].T)
         return out / np.maximum(sizes, 1)[:, None]
@@ -169,7 +161,7 @@ def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return map_batches(rows, run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, run, f"doc_id {kind(docs, doc_id)}, held_out boolean, lang_pred string, score double")
 
 
 _LAST: list = [None, None]
@@ -183,10 +175,15 @@ def _scorer(model: dict) -> Scorer:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    """Trains on a bounded sample of rows outside the held-out fold that have a language."""
-    part = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = sample(part, "lang", SAMPLE_ROWS, SAMPLE_CHARS).orderBy("lang", "doc_id", "text").limit(SAMPLE_ROWS * MAX_LANGS).collect()
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    """Trains on a bounded sample of rows outside the held-out fold that have a language.
+
+    Up to ``SAMPLE_ROWS`` ids of each language, fewer where that makes more than
+    ``SAMPLE_TOTAL`` rows, with their whole texts; every language has its share, however
+    rare. Null languages, ids and texts teach nothing.
+    """
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").where(fold(F.col("i"), FOLDS) != HELD_OUT)
+    found = sampled(rows, bounded(rows, "k", "i", SAMPLE_ROWS, SAMPLE_TOTAL))
+    return train([r["t"].encode() for r in found], [r["k"] for r in found])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

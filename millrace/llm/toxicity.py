@@ -4,8 +4,9 @@ A word enters as the sum of a word vector (words of the training sample that sev
 documents have) and the mean of its character trigrams' vectors (all words). Windows of
 words overlap by half and all are scored: two recurrent directions, attention over the
 window's positions, a logistic output. A document scores as its worst window. Trained in
-numpy by backpropagation through time and attention, on labels of documents: of each
-document, the windows that the network itself finds worst carry the label.
+numpy by backpropagation through time and attention, from random weights, on labels of
+documents. For the first epochs any window of a document carries its label; then the
+windows that the network itself finds worst do.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import gru
-from millrace.llm.common import bounded, documents, fold, map_batches
+from millrace.llm.common import bounded, documents, fold, kind, map_batches, sampled
 
 FOLDS, HELD_OUT = 5, 0
 #: Runs of letters; longer ones are taken in pieces.
@@ -29,11 +30,15 @@ WIDTH, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 12
 TRIGRAMS = 1 << 13
 LANES = 4096
-#: The bound of the training sample: rows per label, and code points of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 900, 6000
+#: The bound of the training sample: rows per label. Their texts are whole.
+SAMPLE_ROWS = 900
 #: A word has a vector of its own if this many, and this share, of the sample's documents have it.
 MIN_DOCS, MIN_SHARE, MAX_WORDS = 3, 0.004, 20_000
-EPOCHS, LANES_STEP, RATE = 14, 96, 0.01
+#: Epochs on windows drawn at random (so many per document), on the three worst of a toxic document, and on the worst.
+DRAWN_EPOCHS, THREE_EPOCHS, WORST_EPOCHS, DRAWN = 4, 2, 10, 6
+LANES_STEP, RATE = 96, 0.01
+#: Documents of a label from which a fifth of all is left out of training, to calibrate on.
+CALIBRATE_FROM = 40
 #: Words whose gate inputs a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 200_000
 
@@ -196,7 +201,6 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
     docs = [(words_of(t), int(y)) for t, y in zip(texts, labels, strict=True)]
     docs = [(ws, y) for ws, y in docs if ws]
     seen = Counter(x for ws, _ in docs for x in set(ws))
-    bad = Counter(x for ws, y in docs if y for x in set(ws))
     common = [x for x, _ in sorted((x for x in seen.items() if x[1] >= max(MIN_DOCS, MIN_SHARE * len(docs))), key=lambda x: (-x[1], x[0]))[:MAX_WORDS]]
     vocab = {x: i + 1 for i, x in enumerate(common)}
     f4 = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
@@ -209,36 +213,13 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
     n_bad, n_good = sum(y for _, y in docs), sum(1 - y for _, y in docs)
     if not n_bad or not n_good:
         return Net(w, vocab, (0.0, -30.0))
-    # Word vectors start with the word's own evidence in one coordinate; training goes on from there.
-    for x, i in vocab.items():
-        odds = np.log((bad[x] + 0.5) / (n_bad + 1)) - np.log((seen[x] - bad[x] + 0.5) / (n_good + 1))
-        w["words"][i, 0] = odds * bad[x] / (bad[x] + 2 + 0.03 * n_bad)
-    w["words"][:, 0] = np.clip(w["words"][:, 0], -1, 6) * 0.5
-    net, adam = Net(w, vocab), None
-    adam = gru.Adam(w, RATE)
-    calibrate = rng.random(len(docs)) < 0.2
-    fit = [x for x, c in zip(docs, calibrate, strict=True) if not c] if n_bad >= 40 else docs
-    held = [x for x, c in zip(docs, calibrate, strict=True) if c] if n_bad >= 40 else docs
-    y_fit = np.array([y for _, y in fit], np.float32)
-    share = max(float(y_fit.mean()), 1e-3)
-    for epoch in range(EPOCHS):
-        net.rows.clear()
-        net.table = net.table[:0]
-        logits, doc = net.windows([ws for ws, _ in fit])
-        starts = [list(window_starts(len(ws))) for ws, _ in fit]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in starts])])
-        evidence = lambda ws: max((w["words"][vocab.get(x, 0), 0] for x in ws), default=0)
-        picks = []
-        for i, (ws, y) in enumerate(fit):
-            own = logits[offsets[i] : offsets[i + 1]]
-            if epoch < 3 and y:
-                ranks = [evidence(ws[s : s + WIDTH]) for s in starts[i]]
-                chosen = [int(np.argmax(ranks))]
-            else:
-                chosen = [int(own.argmax())]
-            if not y:
-                chosen.append(int(rng.integers(len(own))))
-            picks += [(ws[starts[i][k] : starts[i][k] + WIDTH], y) for k in dict.fromkeys(chosen)]
+    net, adam = Net(w, vocab), gru.Adam(w, RATE)
+    calibrate = (rng.random(len(docs)) < 0.2) if min(n_bad, n_good) >= CALIBRATE_FROM else None
+    fit = docs if calibrate is None else [x for x, c in zip(docs, calibrate, strict=True) if not c]
+    held = docs if calibrate is None else [x for x, c in zip(docs, calibrate, strict=True) if c]
+    for epoch in range(DRAWN_EPOCHS + THREE_EPOCHS + WORST_EPOCHS):
+        picks = _picked(net, fit, epoch, rng)
+        share = float(np.mean([y for _, y in picks]))
         order = rng.permutation(len(picks))
         for k in range(0, len(order), LANES_STEP):
             part = [picks[j] for j in order[k : k + LANES_STEP]]
@@ -252,6 +233,27 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
     return net
 
 
+def _picked(net: Net, docs: list[tuple[list[str], int]], epoch: int, rng: np.random.Generator) -> list[tuple[list[str], int]]:
+    """Windows to train on, each with its document's label."""
+    logits, at = None, 0
+    if epoch >= DRAWN_EPOCHS:
+        net.rows.clear()
+        net.table = net.table[:0]
+        logits, _ = net.windows([ws for ws, _ in docs])
+    picks = []
+    for ws, y in docs:
+        starts = window_starts(len(ws))
+        if logits is None:
+            chosen = rng.choice(len(starts), min(DRAWN, len(starts)), replace=False)
+        else:
+            own = logits[at : at + len(starts)]
+            worst = np.argsort(-own, kind="stable")
+            chosen = worst[: 3 if epoch < DRAWN_EPOCHS + THREE_EPOCHS else 1] if y else [worst[0], rng.integers(len(own))]
+        at += len(starts)
+        picks += [(ws[starts[k] : starts[k] + WIDTH], y) for k in dict.fromkeys(int(c) for c in chosen)]
+    return picks
+
+
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve from worst-window logits to labels."""
     if not 0 < y.sum() < len(y):
@@ -269,19 +271,18 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / sd), float(b - a * m / sd)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Net:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Net:
     """Trains on a bounded sample of labelled rows outside the held-out fold.
 
-    Up to ``SAMPLE_ROWS`` documents of each label, those of least hash of the id; of a
-    text, ``SAMPLE_CHARS`` code points. Null labels and ids teach nothing; an id that has
-    several labels counts as toxic if any is.
+    Up to ``SAMPLE_ROWS`` ids of each label, those of least hash, with their whole texts.
+    Null labels, ids and texts teach nothing; an id that has several labels counts as
+    toxic if any is; of several texts of an id, the one of least hash is taken.
     """
-    marked = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    chosen = bounded(marked, "y", F.xxhash64(F.lit("toxic"), "doc_id"), SAMPLE_ROWS, 2).select(F.col("doc_id").alias("__id"), "y")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).where("text is not null").select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(4 * SAMPLE_ROWS).collect()
-    return train([r["text"] for r in found], [r["y"] for r in found])
+    marked = labels.select(F.col(doc_id).alias("i"), F.col(toxic).alias("y")).where("i is not null and y is not null").where(fold(F.col("i"), FOLDS) != HELD_OUT)
+    marked = marked.groupBy("i").agg(F.max((F.col("y") >= 0.5).cast("int")).alias("k"))
+    chosen = bounded(marked, "k", "i", SAMPLE_ROWS, 2 * SAMPLE_ROWS)
+    found = sampled(docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")), chosen)
+    return train([r["t"] for r in found], [r["k"] for r in found])
 
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +296,7 @@ def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text")
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return map_batches(rows, run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_batches(rows, run, f"doc_id {kind(docs, doc_id)}, held_out boolean, score double, predicted int")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
