@@ -188,18 +188,25 @@ def test_url_rules_and_templates(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1500
-    data = [(1, "http://a", big), (2, "http://b\r\n", big), (3, None, None), (4, "u", "é" * 400), (5, "v", "é" * 400), (6, "w", "y" * (17 << 20)), (None, "n", "null id")]
-    table = spark.createDataFrame(data, "page_id long, url string, html string")
-    path = str(tmp_path / "warc")
-    warc.write(warc.plan(table), path, records_per_file=2)
-    got = {r["page_id"]: r for r in warc.read(spark, path, payloads=True).collect()}
-    assert len(got) == 7 and "gap" not in {r["kind"] for r in got.values()}
-    assert got[1]["kind"] == "revisit" and got[1]["refers_to"] == 2 and got[2]["refers_to"] is None
-    assert got[4]["kind"] == got[5]["kind"] == "response"
-    for i, _, html in data:
-        html = (html or "").encode()
-        assert got[i]["payload_digest"] == hashlib.sha1(html).hexdigest() and got[i]["payload_bytes"] == len(html)
-        assert got[i]["kind"] == "revisit" or got[i]["payload"] == html
+    data = [("1", "http://a", big), ("2", "http://b\r\n", big), ("3", None, None), ("4", "u", "é" * 400), ("5 >é%", "v", "é" * 400), ("6", "w", "y" * (17 << 20)), (None, "n", "null id"), ("7", "z", "z" * 2000), (None, "z", "z" * 2000)]
+    table = spark.createDataFrame(data, "page_id string, url string, html string")
+    for n, size in enumerate((1, 3000, 1 << 25)):
+        path = str(tmp_path / f"warc{n}")
+        warc.write(warc.plan(table), path, file_bytes=size)
+        rows = warc.read(spark, path, payloads=True).collect()
+        got = {r["page_id"]: r for r in rows if r["url"] != "n"}
+        assert len(rows) == 9 and "gap" not in {r["kind"] for r in rows}
+        assert got["1"]["kind"] == "revisit" and got["1"]["refers_to"] == "2" and got["2"]["refers_to"] is None
+        assert got["4"]["kind"] == got["5 >é%"]["kind"] == "response" and got[None]["refers_to"] == "7"
+        assert size > 1 or len({r["archive"] for r in rows}) == 9
+        for i, _, html in data:
+            html = (html or "").encode()
+            if i is not None:
+                assert got[i]["payload_digest"] == hashlib.sha1(html).hexdigest() and got[i]["payload_bytes"] == len(html)
+                assert got[i]["kind"] == "revisit" or got[i]["payload"] == html
+    empty = str(tmp_path / "none")
+    warc.write(warc.plan(table.limit(0)), empty)
+    assert warc.read(spark, empty).count() == 0
 
 
 def test_held_out_accuracy(spark):
