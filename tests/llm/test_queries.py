@@ -186,6 +186,38 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(table.limit(0)).count() == 0
 
 
+def test_url_branches_without_evidence_stay_apart_and_allowed(spark):
+    """However many blocked siblings a branch has; blocked ones that are shown to be alike are one wildcard."""
+    for n in (0, 3, 40):
+        urls = [f"http://s.example.com/de/{a}/deep/er/than/four/{b}/x{k}" for k in range(n) for a in ("p", "q", "r") for b in ("one", "two")]
+        urls += [f"http://s.example.com/en/{a}/deep/er/than/four/one/{k}" for k in range(5) for a in ("p", "q")]
+        got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+        assert {r["verdict"] for r in got if r["rule"] is None} == {"allow"} and all(r["purity"] == 0.5 for r in got if r["rule"] is None)
+        assert all(("<*block>" in r["template"]) == (n == 40) for r in got if r["rule"])
+
+
+def test_url_tree_learns_deep_branches(spark):
+    """Branches that differ below the fourth level are told apart; a branch blocks by its labels alone."""
+    rules = (("block", "h", "/a/b/c/d/e/bad"), ("allow", "h", "/a/b/c/d/e/good"))
+    urls = [f"http://h/a/b/c/d/e/{w}{k}/{k}" for k in range(60) for w in ("bad", "good")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, rules=rules, learn_from=F.col("page_id") % 10 > 1).collect()
+    assert all(r["by_tree"] == "allow" for r in got if r["by_rule"] == "allow")
+    many = [f"http://h/a/b/c/d/e/{w}/{x}/{k}" for k in range(30) for w in ("bad", "good") for x in ("u", "v")]
+    pages = spark.createDataFrame(list(enumerate(many)), "page_id long, url string")
+    got = url_filter.judge(pages, rules=rules, learn_from=F.col("page_id") % 5 > 0).collect()
+    assert all(r["by_tree"] == r["by_rule"] for r in got)
+
+
+def test_url_held_out_agreement(spark):
+    """Ruled urls whose labels the tree doesn't see: it blocks no allowed one, and finds most that the rules block."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = url_filter.judge(pages, learn_from=F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 != 0)
+    held = got.where(F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0).where("rule is not null")
+    n = {(r["by_rule"], r["by_tree"]): r["count"] for r in held.groupBy("by_rule", "by_tree").count().collect()}
+    assert n.get(("allow", "block"), 0) == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1500
     data = [("1", "http://a", big), ("2", "http://b\r\n", big), ("3", None, None), ("4", "u", "é" * 400), ("5 >é%", "v", "é" * 400), ("6", "w", "y" * (17 << 20)), (None, "n", "null id"), ("7", "z", "z" * 2000), (None, "z", "z" * 2000)]
