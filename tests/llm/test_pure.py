@@ -129,6 +129,41 @@ def test_edited_windows_equal_the_edited_text():
         assert row[4] == fingerprint.written(fingerprint._Document(3, edited).least)
 
 
+def test_blocks_agree_with_one_long_array(monkeypatch):
+    """Texts longer than a block: spans, extensions, window hashes and edits as with one block."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé😀 ") for _ in range(n)) for n in (0, 1, 15, 16, 63, 64, 65, 79, 80, 81, 300)]
+    texts += [texts[-1][:200] + "x" + texts[-1][201:], texts[-1] + "y"]
+    whole = [fingerprint.PrefixHashes(t) for t in texts]
+    rows = [fingerprint._Document(1, a).against(fingerprint._Document(2, b)) for a in texts for b in texts]
+    wanted = [(w.windows(), [w.span(i, n) for i in range(0, w.n, 7) for n in range(0, w.n - i, 11)]) for w in whole]
+    monkeypatch.setattr(fingerprint, "BLOCK", 64)
+    cut = [fingerprint.PrefixHashes(t) for t in texts]
+    assert rows == [fingerprint._Document(1, a).against(fingerprint._Document(2, b)) for a in texts for b in texts]
+    for c, (windows, spans) in zip(cut, wanted, strict=True):
+        assert np.concatenate([c.windows(b) for b in range(max(-(-c.count() // 64), 1))]).tolist() == windows.tolist()
+        assert [c.span(i, n) for i in range(0, c.n, 7) for n in range(0, c.n - i, 11)] == spans
+    for a, x in zip(texts, cut, strict=True):
+        for b, y in zip(texts, cut, strict=True):
+            assert x.extension(0, y, 0) == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+def test_likeness_estimates_the_exact_share_of_windows():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    errors = []
+    for _ in range(60):
+        a = [rng.choice(words) for _ in range(rng.randint(40, 300))]
+        b = a[: rng.randint(0, len(a))] + [rng.choice(words) for _ in range(rng.randint(0, 200))]
+        x, y = " ".join(a), " ".join(b)
+        windows = lambda t: {t[i : i + fingerprint.WINDOW] for i in range(max(len(t) - fingerprint.WINDOW + 1, 1))} if t else set()
+        p, q = windows(x), windows(y)
+        jaccard = len(p & q) / len(p | q)
+        found = fingerprint.likeness(fingerprint._Document(1, x).least, fingerprint._Document(2, y).least)
+        errors.append(found - 2 * jaccard / (1 + jaccard))
+    assert max(map(abs, errors)) < 0.3 and abs(sum(errors) / len(errors)) < 0.03
+
+
 def test_salvage_recovers_later_records_and_logs_gaps():
     make = lambda i, body: warc.record("response", str(i), f"http://x/{i}", body, hashlib.sha1(body).hexdigest())
     bodies = [b"one" * 400, b"", b"WARC/1.1\r\nfake" * 90, b"last"]

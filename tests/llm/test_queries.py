@@ -162,17 +162,31 @@ def test_keep_one_keeps_smallest_and_idless(docs):
     assert kept.count(4) == 1 and 5 not in kept and kept.count(None) == 1 and kept.count(0) == 1
 
 
-def test_fingerprint_order_and_wrap(spark):
+@pytest.mark.parametrize("partitions", [1, 6, 40])
+def test_fingerprint_order_and_wrap(spark, partitions):
     data = [(i * 7 % 50, f"text number {i} " * (i % 5)) for i in range(50)]
-    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(data, "doc_id long, text string"), partitions=6).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(data, "doc_id long, text string"), partitions=partitions).collect()}
     order = sorted(data)
     for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
         edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(a)
+        assert got[i]["fingerprint"] == fingerprint.written(fingerprint._Document(0, a).least).hex()
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
 
 
+def test_fingerprint_splits_an_id_that_many_rows_share(spark):
+    """Rows of one id stand in order of their texts' hashes; equal rows, null ids and string ids take part."""
+    data = [("a", f"one {i % 30} of the texts of this id") for i in range(90)] + [(None, "same text, no id")] * 40 + [("b", None)]
+    table = spark.createDataFrame(data, "doc_id string, text string").repartition(4)
+    got = fingerprint.fingerprints(table, partitions=8).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t or "")) for i, t in data)
+    hashed = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h")).collect()
+    order = [r["text"] for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or "", r["h"]))]
+    edits = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(order, order[1:] + order[:1], strict=True)]
+    assert Counter(r["edited_sha256"] for r in got) == Counter(hashlib.sha256(e.encode()).hexdigest() for e in edits)
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "", "no scheme", "http://A.example.COM/de/1", "http://a.example.com/en/1", "https://example.net/en/x", "https://example.net", "http://badexample.com/de/", "http://x.org/fr/?q", "http://net/x", "ftp://h.example.com/de"]
     urls += [f"http://s.example.com/{'de' if i % 2 else 'en'}/{i}.html" for i in range(60)]
