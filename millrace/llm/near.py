@@ -1,4 +1,10 @@
-"""Near-duplicates by five-word shingles: MinHash bands, verified by exact Jaccard similarity of 0.8."""
+"""Near-duplicates by five-word shingles: SimHash blocks, completed by MinHash bands; verified by exact Jaccard similarity of 0.8.
+
+Candidates come from the SimHash operator's pigeonhole blocks over five-word fingerprints.
+At a similarity of 0.8 two texts differ in about 10 of 64 bits, more than blocks can
+promise to find, so texts also meet in MinHash bands. Every candidate is verified by the
+sets of shingles themselves.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches
+from millrace.llm import simhash
+from millrace.llm.common import kind, map_batches
 from millrace.operators.graph import connected_components
-from millrace.session import discard, materialize
+from millrace.session import discard, fresh, materialize
 
 SHINGLE = 5
 #: Sets link when five times their common shingles are four times their union, or more. Whole numbers, so that 0.8 itself counts.
@@ -58,19 +65,21 @@ def _named(hashes: np.ndarray) -> int:
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, h, text``: a row is told from others of its id by the hash of its text."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, h, fp, size, bands`` for every row; equal sets have equal ``fp``."""
+    """``doc_id, h, fp, size, sim, bands`` for every row; equal sets have equal ``fp``; ``sim`` is the SimHash of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py() or b"") for t in batch.column(2)]
+        texts = [t.as_py() or b"" for t in batch.column(2)]
+        sets = [shingle_set(t) for t in texts]
+        sims = np.array([simhash.fingerprint(t, SHINGLE) for t in texts], np.uint64).view(np.int64)
         fps = np.array([_named(s) for s in sets], np.uint64).view(np.int64)
         size = pa.array([len(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), size, _lists([bands(s) for s in sets])], names=["doc_id", "h", "fp", "size", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), size, pa.array(sims), _lists([bands(s) for s in sets])], names=["doc_id", "h", "fp", "size", "sim", "bands"])
 
-    return map_batches(_rows(docs, doc_id, text), run, "doc_id long, h long, fp long, size long, bands array<long>")
+    return map_batches(_rows(docs, doc_id, text), run, f"doc_id {kind(docs, doc_id)}, h long, fp long, size long, sim long, bands array<long>")
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -118,11 +127,20 @@ def _by_rare_shingles(hashed: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _by_blocks(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes (``fp, size, sim``) whose SimHashes are equal or linked by blocks, each by the least of its SimHash."""
+    first = nodes.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("f"))
+    equal = nodes.join(first, "sim").where("fp <> f.fp").select(F.least("fp", "f.fp").alias("a"), F.greatest("fp", "f.fp").alias("b"))
+    one, other = (first.select(F.col("sim").alias(x), F.col("f.fp").alias(f"f{x}")) for x in "ab")
+    linked = simhash.links(first.select(F.col("sim").alias("fp"))).join(one, "a").join(other, "b")
+    return equal.unionAll(linked.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))).distinct()
+
+
 def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE) -> DataFrame:
-    """``a, b``: verified links that join the same components as all similar pairs of equal bands.
+    """``a, b``: verified links that join the same components as all similar pairs of close SimHashes or equal bands.
 
-    ``nodes`` has distinct ``fp, size, bands``; ``sets_of`` gives ``fp, hashes`` for a
-    table of ``fp``. In a bucket of up to ``pairwise`` nodes all pairs are verified. In a
+    ``nodes`` has distinct ``fp, size, sim, bands``; ``sets_of`` gives ``fp, hashes`` for
+    a table of ``fp``. Nodes that share blocks are verified. In a bucket of a band of up to ``pairwise`` nodes all pairs are verified. In a
     larger one, each node is compared with the one that is in most such buckets, which is
     what a group of copies was made from, if anything; nodes that are still apart then
     meet by prefixes of their sets, which lose no similar pair. No bucket is cut.
@@ -130,7 +148,9 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise:
     keyed = nodes.select("fp", "size", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(shared, "key"), "members")
-    hashed = materialize(sets_of(members.select("fp").distinct()), "sets")
+    blocks = materialize(_by_blocks(nodes.select("fp", "size", "sim")), "blocks")
+    wanted = members.select("fp").unionAll(blocks.select("a")).unionAll(blocks.select("b"))
+    hashed = materialize(sets_of(wanted.distinct()), "sets")
     small, large = members.where(F.col("n") <= pairwise), members.where(F.col("n") > pairwise)
     one, other = (small.select("key", F.col("fp").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
     pairs = one.join(other, "key").where("a < b").where(_sized(F.col("na"), F.col("nb"))).select("a", "b")
@@ -138,7 +158,7 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise:
     lead = large.join(often, "fp").groupBy("key").agg(F.max(F.struct("often", "fp", "size")).alias("l"))
     stars = large.join(lead, "key").where(F.col("fp") != F.col("l.fp")).where(_sized(F.col("size"), F.col("l.size")))
     stars = stars.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b"))
-    found = materialize(_verified(pairs.unionAll(stars).distinct(), hashed), "links")
+    found = materialize(_verified(pairs.unionAll(stars).unionAll(blocks).distinct(), hashed), "links")
     if large.limit(1).count():
         component = connected_components(found).withColumnRenamed("node", "fp")
         placed = materialize(large.select("key", "fp").join(component, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "placed")
@@ -146,6 +166,7 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairwise:
         apart = placed.join(mixed, "key", "left_semi").select("fp", "c").distinct()
         found = found.unionAll(materialize(_verified(_by_rare_shingles(hashed.join(apart, "fp")), hashed), "links"))
     discard(members)
+    discard(blocks)
     return found
 
 
@@ -161,19 +182,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pair
     def sets_of(fps: DataFrame) -> DataFrame:
         wanted = first.join(fps, "fp").select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("k"))
         rows = _rows(docs, doc_id, text)
-        return sets(rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("k")), "left_semi")).dropDuplicates(["fp"])
+        return sets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left_semi")).dropDuplicates(["fp"])
 
-    graph = connected_components(links(own.select("fp", "size", "bands").dropDuplicates(["fp"]).where("size > 0"), sets_of, pairwise))
+    graph = connected_components(links(own.select("fp", "size", "sim", "bands").dropDuplicates(["fp"]).where("size > 0"), sets_of, pairwise))
     by_fp = first.select("fp").join(graph.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
     return own.select("doc_id", "h", "fp").join(by_fp, "fp")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairwise: int = PAIRWISE) -> DataFrame:
     """One row of each component: that of smallest id, null ids last, then by text; columns unchanged."""
+    d, h, k, nth = fresh(docs.columns, "least_id", "least_hash", "text_hash", "nth")
     least = components(docs, doc_id, text, pairwise).groupBy("component").agg(F.min(_order(F.col("doc_id"), F.col("h"))).alias("m"))
-    chosen = least.select(F.col("m.doc_id").alias("__d"), F.col("m.h").alias("__h"))
-    rows = docs.withColumn("__k", F.xxhash64(F.col(text)))
-    kept = rows.join(chosen, rows[doc_id].cast("long").eqNullSafe(F.col("__d")) & (rows["__k"] == F.col("__h")), "left_semi")
+    chosen = least.select(F.col("m.doc_id").alias(d), F.col("m.h").alias(h))
+    rows = docs.withColumn(k, F.xxhash64(F.col(text)))
+    kept = rows.join(chosen, F.col(doc_id).eqNullSafe(F.col(d)) & (F.col(k) == F.col(h)), "left_semi")
     # By the join's own keys, so that texts aren't dealt a second time; rows of one key are copies.
-    first = F.row_number().over(Window.partitionBy(doc_id, "__k").orderBy(F.lit(0)))
-    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(doc_id, k).orderBy(F.lit(0)))
+    return kept.withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
