@@ -1,4 +1,8 @@
-"""Secret scans: fixed patterns, and sliding-window entropy of candidate strings."""
+"""Secret scans: fixed patterns, and sliding-window entropy of candidate strings.
+
+The allow-list silences the windows over what it matches, not the candidate around it.
+Strings of letters alone are no candidates.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, map_batches, replace
+from millrace.llm.common import documents, kind, map_batches, replace
 
 #: Kinds in the order that ties of a start are listed in.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -58,8 +62,31 @@ def hot_windows(s: str, threshold: float, width: int = WINDOW) -> list[tuple[int
     return out
 
 
+def _quiet(s: str) -> list[tuple[int, int]]:
+    """Stretches of ``s`` that the allow-list covers: each match, with the letters and digits that it is part of."""
+    out = []
+    for m in ALLOWED.finditer(s):
+        a, b = m.span()
+        while a and s[a - 1].isalnum():
+            a -= 1
+        while b < len(s) and s[b].isalnum():
+            b += 1
+        out.append((a, b))
+    return out
+
+
+def _audible(s: str) -> list[tuple[int, str]]:
+    """What the allow-list leaves of a candidate, and where: no window lies over an allowed stretch."""
+    out, at = [], 0
+    for a, b in [*_merged(_quiet(s)), (len(s), len(s))]:
+        if a - at >= WINDOW:
+            out.append((at, s[at:a]))
+        at = b
+    return out
+
+
 def _mixed(s: str) -> bool:
-    """Words and paths have letters of one case or no digits; keys mix."""
+    """Keys mix letters and digits; a string of letters alone is never a candidate, as words and paths are."""
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
@@ -73,12 +100,13 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     for m in CANDIDATE.finditer(text):
         s, at = m[0], m.start()
         found += [(at + h.start(), 2, at + h.end()) for h in HEX.finditer(s)]
-        if not _mixed(s) or ALLOWED.search(s):
+        if not _mixed(s):
             continue
         spans: list[tuple[int, int]] = []
-        for _, pattern, threshold in CLASSES:
-            for run in pattern.finditer(s):
-                spans += [(run.start() + a, run.start() + b) for a, b in hot_windows(run[0], threshold) if _mixed(run[0][a:b])]
+        for part, piece in _audible(s):
+            for _, pattern, threshold in CLASSES:
+                for run in pattern.finditer(piece):
+                    spans += [(part + run.start() + a, part + run.start() + b) for a, b in hot_windows(run[0], threshold) if _mixed(run[0][a:b])]
         for a, b in _merged(spans):
             found.append((at + a, 3, at + b))
     return [(a, b, KINDS[k]) for a, k, b in sorted(found)]
@@ -120,7 +148,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         columns = [batch.column(0), *map(count, KINDS), digests, pa.array([_joined(r) for r in rows], pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
+    schema = f"doc_id {kind(docs, doc_id)}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
     return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
