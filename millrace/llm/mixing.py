@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, word_count
-from millrace.session import materialize
+from millrace.session import fresh, materialize
 
 #: Expected copies are whole multiples of 2**-24: sums are exact, whatever the order.
 BITS = 24
@@ -65,13 +65,14 @@ def running_sum(rows: DataFrame, key: str, order: list[str], value: str, partiti
     task sums its own stretch, and the stretches' totals (one row per key and task) carry
     over. The dealt rows are written once, as a range exchange samples anew each time.
     """
-    dealt = materialize(rows.repartitionByRange(partitions, F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]).withColumn("__p", F.spark_partition_id()), "dealt")
-    totals = dealt.groupBy("__p", key).agg(F.sum(value).alias("__t"))
-    carried = totals.select("__p", F.col(key).alias("__k"), (F.sum("__t").over(Window.partitionBy(key).orderBy("__p")) - F.col("__t")).alias("__carry"))
-    stretch = Window.partitionBy("__p", key).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    inner = dealt.withColumn("__own", F.sum(value).over(stretch) - F.col(value))
-    on = (inner["__p"] == carried["__p"]) & inner[key].eqNullSafe(carried["__k"])
-    return inner.join(carried, on).select(*[inner[c] for c in rows.columns], (F.col("__own") + F.col("__carry")).alias("before"))
+    part, of_key, at, total, carry, own = fresh(rows.columns, "part", "of_key", "at", "total", "carry", "own")
+    dealt = materialize(rows.repartitionByRange(partitions, F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]).withColumn(part, F.spark_partition_id()), "dealt")
+    totals = dealt.groupBy(part, key).agg(F.sum(value).alias(total))
+    carried = totals.select(F.col(part).alias(at), F.col(key).alias(of_key), (F.sum(total).over(Window.partitionBy(key).orderBy(part)) - F.col(total)).alias(carry))
+    stretch = Window.partitionBy(part, key).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    inner = dealt.withColumn(own, F.sum(value).over(stretch) - F.col(value))
+    on = (F.col(part) == F.col(at)) & F.col(key).eqNullSafe(F.col(of_key))
+    return inner.join(carried, on).select(*rows.columns, (F.col(own) + F.col(carry)).alias("before"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **targets) -> DataFrame:
@@ -100,15 +101,18 @@ def emit(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str
     Rows that share id, source and size share their copies: the first ones by row
     number get one more where copies don't divide evenly.
     """
-    keyed = docs.withColumns({"__id": F.col(doc_id), "__s": F.col(source).cast("string"), "__n": word_count(F.col(text))})
-    per_key = mixed.groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__o"), F.col("size").alias("__z")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__r"))
-    on = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__s").eqNullSafe(F.col("__o")) & (F.col("__n") == F.col("__z"))
-    joined = keyed.join(per_key.where("__c > 0"), on)
-    single = joined.where("__r = 1").withColumn("__take", F.col("__c"))
-    again = joined.where("__r > 1").withColumn("__at", F.row_number().over(Window.partitionBy("__id", "__s", "__n").orderBy(F.xxhash64(text), F.col(text))))
-    again = again.withColumn("__take", F.floor(F.col("__c") / F.col("__r")) + F.when(F.col("__at") <= F.col("__c") % F.col("__r"), 1).otherwise(0)).drop("__at").where("__take > 0")
+    own, theirs = ["own_id", "own_source", "own_size"], ["mix_id", "mix_source", "mix_size"]
+    names = fresh(docs.columns, *own, *theirs, "copies", "rows", "take", "nth", "copy")
+    i, s, n, mi, ms, mn, copies, rows, take, nth, copy = names
+    keyed = docs.withColumns({i: F.col(doc_id), s: F.col(source).cast("string"), n: word_count(F.col(text))})
+    per_key = mixed.groupBy(F.col("doc_id").alias(mi), F.col("source").alias(ms), F.col("size").alias(mn)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    on = F.col(i).eqNullSafe(F.col(mi)) & F.col(s).eqNullSafe(F.col(ms)) & (F.col(n) == F.col(mn))
+    joined = keyed.join(per_key.where(F.col(copies) > 0), on)
+    single = joined.where(F.col(rows) == 1).withColumn(take, F.col(copies))
+    again = joined.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(i, s, n).orderBy(F.xxhash64(text), F.col(text))))
+    again = again.withColumn(take, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(nth) <= F.col(copies) % F.col(rows), 1).otherwise(0)).drop(nth).where(F.col(take) > 0)
     both = single.unionByName(again)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__take").cast("int")))).select(*docs.columns)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take).cast("int")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

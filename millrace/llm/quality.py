@@ -72,12 +72,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).when(F.size(F.array_distinct(hashes)) == F.size(words) - 2, F.lit(0)).otherwise(repeated(windows))
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> DataFrame:
     """``docs`` with the columns of ``MEASURES``: measures, verdict and cleaned text.
 
     A null or empty text has no word: it fails the base rules, and its cleaned text is
     empty. A text that loses no line comes out as it was. Rows that repeat are judged
-    alike. Columns of ``docs`` stay; the added names start with ``__q_``.
+    alike. Columns of ``docs`` stay; the added names start with ``prefix``.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
@@ -103,12 +103,21 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         base = (w["n"] < MIN_WORDS) | (100 * w["rep"] > MAX_REPEAT_PERCENT * w["n"])
         lines_ok = (100 * lost <= MAX_LOST_PERCENT * ls["all"]) & ~((ls["w"]["n"] >= DUP_LINES_FROM) & (2 * ls["w"]["dup"] > ls["w"]["n"]))
         values = [w["n"], w["chars"], ls["symbols"], ls["w"]["dup"], w["rep"], base, ~base & lines_ok, lost, ls["j"]["clean"]]
-        return F.struct(*[v.alias(f"__q_{n}") for v, n in zip(values, MEASURES, strict=True)])
+        return F.struct(*[v.alias(prefix + n) for v, n in zip(values, MEASURES, strict=True)])
 
     # inline() stands between: a projection would be merged and computed anew for each column.
     return docs.select("*", F.inline(F.array(let(measures, verdict))))
 
 
+def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, without their failing lines; columns unchanged, whatever their names."""
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    judged = judge(docs, text, prefix).where(F.col(f"{prefix}kept"))
+    return judged.withColumn(text, F.col(f"{prefix}clean")).select(*docs.columns)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = judge(documents(spark, sf_dir).select("doc_id", "text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from millrace.llm import bpe, fingerprint, language_id, mixing, quality, secret_scan, simhash, toxicity, url_filter, warc
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -99,6 +99,30 @@ def test_secret_base_kinds_and_allow_list():
     assert secret_scan.scan("ſecret=abcdefgh") == []  # a letter beyond ASCII is no s
 
 
+def test_allow_list_silences_windows_not_candidates():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzzKEY1q"
+    text = f"see /srv/example/{key}/x and 123e4567-e89b-12d3-a456-426614174000"
+    assert [text[a:b] in f"/{key}/x" for a, b, k in secret_scan.scan(text) if k == "entropy"] == [True]
+    for i in range(0, len(key), 5):  # within the key itself the allow-list still holds
+        assert not any(k == "entropy" for *_, k in secret_scan.scan(f"{key[:i]}EXAMPLE{key[i:]}"))
+
+
+NAIVE = {
+    "assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=\-]+)""",
+    "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)",
+}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["Password", "TOKEN", "api_key", "apikey", "secret", ":", "=", " ", '"', "'", "abc12", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef01234567", "é", "/", ".", "x"]), max_size=25).map("".join))
+def test_base_spans_equal_naive_patterns(text):
+    import re
+
+    least = {"assign": 6, "access": 20, "hex": 24}
+    wanted = sorted((m.start(), k, m.end()) for k, p in NAIVE.items() for m in re.finditer(p, text) if len(m[1]) >= least[k])
+    assert sorted((a, k, b) for a, b, k in secret_scan.scan(text) if k != "entropy") == wanted
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab", max_size=40), st.text(alphabet="ab", max_size=40), st.data())
 def test_spans_and_extensions(a, b, data):
@@ -297,3 +321,90 @@ def test_toxicity_learns_and_covers_all_windows():
         starts = toxicity.window_starts(n)
         assert {p for s in starts for p in range(s, min(s + toxicity.WIDTH, n))} == set(range(n))
     assert toxicity.train(["a b"], [1]).scores(["a b"])[0] < 0.5
+
+
+def small_net(seed=1):
+    rng = np.random.default_rng(seed)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(60)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 60, rng.integers(1, 90))) for _ in range(24)]
+    return toxicity.train(texts, [i % 2 for i in range(24)], seed=seed), words, texts
+
+
+def naive_logit(net, window):
+    """One window, word by word, by the definitions."""
+    w, h = net.w, toxicity.HIDDEN
+    soft = lambda x: x / (1 + np.abs(x))
+    xs = []
+    for word in window:
+        raw = [int(b) for b in b"^" + word.encode() + b"$"]
+        grams = [((raw[i] * 961 + raw[i + 1] * 31 + raw[i + 2]) * 2654435761 >> 8) % toxicity.TRIGRAMS for i in range(len(raw) - 2)]
+        xs.append(w["chars"][grams].astype(float).mean(0) + w["words"][net.vocab.get(word, 0)])
+
+    def states(xs, x, b, u):
+        s, out = np.zeros(h), []
+        for v in xs:
+            g, m = v @ w[x] + w[b], s @ w[u]
+            z, r = (0.5 * soft(g[k * h : (k + 1) * h] + m[k * h : (k + 1) * h]) + 0.5 for k in (0, 1))
+            n = soft(g[2 * h :] + r * m[2 * h :])
+            s = n + z * (s - n)
+            out.append(s)
+        return out
+
+    both = np.concatenate([states(xs, "wf", "bf", "uf"), states(xs[::-1], "wb", "bb", "ub")[::-1]], 1)
+    e = np.exp(soft(both @ w["at"]) @ w["av"])
+    return float((e / e.sum()) @ both @ w["o"] + w["c"][0])
+
+
+def test_toxicity_windows_equal_a_naive_scorer():
+    net, _, texts = small_net()
+    split = [toxicity.words_of(t) for t in texts]
+    logits, doc = net.windows(split)
+    wanted = [(i, naive_logit(net, ws[s : s + toxicity.WIDTH])) for i, ws in enumerate(split) for s in toxicity.window_starts(len(ws))]
+    assert doc.tolist() == [i for i, _ in wanted] and np.allclose(logits, [x for _, x in wanted], atol=2e-3)
+    a, b = net.scale
+    worst = [max(x for i, x in wanted if i == k) for k in range(len(texts))]
+    assert np.allclose(net.scores(texts), [1 / (1 + np.exp(-(a * x + b))) for x in worst], atol=2e-3)
+
+
+def test_toxicity_gradients_by_differences():
+    """Of the loss over windows, in every weight: attention, output, both directions, word and character vectors."""
+    net, words, _ = small_net()
+    windows = [words[0:7], words[3:20], words[9:10]]
+    y, weight = np.array([1, 0, 1], np.float32), np.array([1.0, 0.5, 2.0], np.float32)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    found = toxicity._gradients(net, windows, y, weight)
+
+    def loss():
+        p = [1 / (1 + np.exp(-naive_logit(net, x))) for x in windows]
+        return -sum(c * (np.log(q) if t else np.log(1 - q)) for q, t, c in zip(p, y, weight, strict=True)) / weight.sum()
+
+    rng = np.random.default_rng(3)
+    for name, g in found.items():
+        places = np.argwhere(np.abs(g) > 0.3 * np.abs(g).max())
+        for place in places[rng.permutation(len(places))[:3]]:
+            at, old = tuple(place), net.w[name][tuple(place)]
+            net.w[name][at] = old + 1e-4
+            up = loss()
+            net.w[name][at] = old - 1e-4
+            down = loss()
+            net.w[name][at] = old
+            assert abs((up - down) / 2e-4 - g[at]) < 2e-3 + 0.02 * abs(g[at]), name
+
+
+def test_language_scoring_passes_stretches_with_their_margins():
+    """Texts of several stretches: each byte's probabilities by states that have read the margin."""
+    rng = np.random.default_rng(6)
+    model = language_id.train([b"abc abc", b"xyz xyz"], ["a", "b"], seed=3)
+    for n in (1, 127, 128, 129, 300):
+        text = bytes(rng.integers(97, 122, n).astype(np.uint8))
+        total = np.zeros(2)
+        for a in range(0, n, language_id.STRETCH):
+            b, low = min(a + language_id.STRETCH, n), max(a - language_id.MARGIN, 0)
+            high = min(b + language_id.MARGIN, n)
+            codes = np.frombuffer(text[low:high], np.uint8).astype(int)[:, None]
+            sf, _ = gru.forward(model["xf"][codes], model["uf"])
+            sb, _ = gru.forward(model["xb"][codes[::-1]], model["ub"])
+            logits = sf[1:] @ model["of"] + sb[1:][::-1] @ model["ob"] + model["c"]
+            p = np.exp(logits - logits.max(2, keepdims=True))
+            total += (p / p.sum(2, keepdims=True))[a - low : b - low, 0].sum(0)
+        assert np.allclose(language_id.Scorer(model).documents([text])[0], total / n, atol=1e-4)

@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from millrace.llm import bpe, fingerprint, language_id, mixing, quality, secret_scan, simhash, toxicity, url_filter, warc
+from millrace.llm import bpe, common, fingerprint, language_id, mixing, quality, secret_scan, simhash, toxicity, url_filter, warc
 from millrace.operators.graph import connected_components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("size", T.LongType())])
@@ -58,6 +59,40 @@ def test_pipeline_stages_keep_columns(docs, nothing, spark):
         assert corpus_pipeline.tokens(spark, now, "").count() == now.count()
 
 
+CLASHING = ["y", "k", "i", "t", "h", "n", "__n", "__id", "__s", "__p", "__k", "part", "copies", "rows", "take", "nth", "least_id", "text_hash", "keep", "__q_kept", "edge", "seen", "labelled", "own_id"]
+
+
+def test_columns_of_any_name_do_no_harm(spark):
+    """Every operator and stage on a table whose other columns have the names that operators use inside."""
+    plain = spark.createDataFrame([(i, f"text number {i % 7} " * 30 + ("zug" if i % 5 == 0 else "bob"), "en", "ab"[i % 2]) for i in range(30)], "doc_id long, text string, lang string, source string")
+    more = plain.select("*", *[F.lit(7 + n).alias(c) for n, c in enumerate(CLASHING)]).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), 7, 8) for i in range(30)], "doc_id long, toxic int, k int, i int")
+    rows = lambda df: sorted(map(str, df.collect()))
+    model, net = language_id.learn(more), toxicity.learn(more, labels)
+    assert np.array_equal(model["xf"], language_id.learn(plain)["xf"])
+    assert np.array_equal(net.w["chars"], toxicity.learn(plain, labels.select("doc_id", "toxic")).w["chars"])
+    for f in (mixing.mix, simhash.near_duplicates, fingerprint.fingerprints, secret_scan.find, bpe.tokenize, lambda d: language_id.identify(d, model), lambda d: toxicity.score(d, net)):
+        assert rows(f(more)) == rows(f(plain))
+    pages = [("page_id", F.col("doc_id")), ("url", F.concat(F.lit("http://a.net/"), F.col("doc_id").cast("string"))), ("html", F.col("text"))]
+    few, many = (d.select(*[c.alias(n) for n, c in pages], *[c for c in CLASHING if c in d.columns]) for d in (plain, more))
+    for f in (url_filter.judge, warc.plan):
+        assert rows(f(many)) == rows(f(few))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, "")
+        assert got.columns == more.columns and rows(got.select(*plain.columns)) == rows(stage(spark, plain, ""))
+        assert got.select(*CLASHING).distinct().count() <= 1 and got.where("y <> 7 or __n <> 13").count() == 0
+
+
+def test_sample_keeps_rare_values_where_ids_repeat(spark):
+    rows = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("aa").alias("lang"), F.lit("aaaa").alias("text"))
+    rows = rows.unionAll(spark.range(2, 201).select("id", F.lit("zz"), F.concat(F.lit("z"), F.col("id").cast("string"))))
+    got = Counter(r["k"] for r in common.bounded(rows, "lang", "doc_id", 250, 1000).collect())
+    assert got == {"aa": 1, "zz": 199}
+    assert Counter(r["k"] for r in common.bounded(rows, "lang", "doc_id", 250, 40).collect()) == {"aa": 1, "zz": 20}
+    with pytest.raises(ValueError):
+        common.bounded(rows, "doc_id", "doc_id", 250, 40)
+
+
 def test_pipeline_runs(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "ids" in out.columns
@@ -127,21 +162,23 @@ def test_components_equal_brute_force(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
+@pytest.mark.parametrize("distance,blocks", [(1, 4), (2, 5), (3, 6), (4, 9)])
 @pytest.mark.parametrize("pairwise", [1, 16, 1 << 40])
-def test_links_equal_brute_force(spark, pairwise):
+def test_links_equal_brute_force(spark, pairwise, distance, blocks):
     rng = random.Random(9)
     values = []
-    for _ in range(12):
+    for _ in range(8):
         centre = rng.getrandbits(64)
         values += [centre]
-        for _ in range(30):
+        for _ in range(20):
             x = rng.choice(values[-12:])
-            for b in rng.sample(range(64), rng.randint(1, 3)):
+            for b in rng.sample(range(64), rng.randint(1, distance + 1)):
                 x ^= 1 << b
             values.append(x)
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     table = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {r["node"]: r["component"] for r in connected_components(simhash.links(table, pairwise=pairwise)).collect()}
+    found = simhash.links(table, distance, blocks, pairwise)
+    got = {r["node"]: r["component"] for r in connected_components(found).collect()}
     parent = {v: v for v in values}
 
     def find(x):
@@ -151,12 +188,44 @@ def test_links_equal_brute_force(spark, pairwise):
 
     for i, a in enumerate(values):
         for b in values[:i]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert {v: got.get(v, v) for v in values} == {v: find(v) for v in values}
 
 
+def test_simhash_query_equals_brute_force(spark):
+    """The whole operator on whole texts: fingerprints by the definition, components by all pairs; string ids."""
+    import xxhash
+
+    rng, words = random.Random(2), [f"w{i}" for i in range(50)]
+    base = [rng.choice(words) for _ in range(400)]
+    texts = [None, "", " \n", "One two", "one TWO", *[" ".join(base[: rng.randint(390, 400)]) for _ in range(20)], *[" ".join(rng.choice(words) for _ in range(9)) for _ in range(20)]]
+
+    def fingerprint_of(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps, ids = [fingerprint_of(t) for t in texts], [f"d{i:03}" for i in range(len(texts))]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string").repartition(3)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(table).collect()}
+    assert got == {ids[i]: (f"{fps[i]:016x}", ids[find(i)]) for i in range(len(texts))}
+
+
 def test_keep_one_keeps_smallest_and_idless(docs):
     kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert kept.count(4) == 1 and 5 not in kept and kept.count(None) == 1 and kept.count(0) == 1
