@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, near, quality, secret_scan
-from millrace.session import materialize
+from millrace.session import discard, materialize
 
 #: No SQL: components of a near-duplicate graph, entropy windows and BPE are beyond it.
 ORACLE_SQL = None
@@ -25,12 +25,14 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
-    judged = quality.judge(docs).where("__q_kept")
-    return _sized(judged.withColumn("text", F.col("__q_clean")).select(*docs.columns))
+    return _sized(quality.keep_clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8): that of smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8): that of smallest id.
+
+    SimHash finds candidates by blocks, MinHash bands complete them, and all are verified.
+    """
     return near.keep_one(docs)
 
 
@@ -62,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
