@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,16 +39,16 @@ def by_index(rows: DataFrame, keys: list[str], x: str, indexes: dict[str, object
     """For each key, the values of ``x`` at indexes that depend on the number of values.
 
     Counts per (key, value) are combined first; positions are running sums over distinct
-    values, so no list of a key's values is built.
+    values, dealt by range, so neither a list of a key's values is built nor are its
+    distinct ones sorted in one task.
     """
-    from pyspark.sql import Window
-
-    counted = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    placed = counted.select(*keys, x, F.sum("__c").over(own).alias("__e"), F.col("__c"), F.sum("__c").over(whole).alias("__n"))
-    picks = [F.max(F.when((F.col("__e") > f(F.col("__n"))) & (F.col("__e") - F.col("__c") <= f(F.col("__n"))), F.col(x))).alias(name) for name, f in indexes.items()]
-    return placed.groupBy(*keys).agg(*picks)
+    from millrace.operators.sampling import running
+
+    counted = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("c"))
+    whole = counted.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.sum("c").alias("n"))
+    placed = running(counted, keys, [x], "c").join(whole, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]))
+    here = lambda f: (F.col("cum") > f(F.col("n"))) & (F.col("cum") - F.col("c") <= f(F.col("n")))
+    return placed.groupBy(*keys).agg(*[F.max(F.when(here(f), F.col(x))).alias(name) for name, f in indexes.items()])
 
 
 def warmup_cosine(step: Column, max_steps: int, warmup: int) -> Column:

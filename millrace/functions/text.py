@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space as string methods of Unicode-aware languages strip it.
-BLANK = r"[\x09-\x0D\x1C-\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space as string methods of Unicode-aware languages strip it.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Control characters other than line feed and tab.
 FORBIDDEN = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
-#: Lower-case words and single CJK characters.
+#: Fixed value: lower-case words and single CJK characters.
 TOKEN = r"[a-z0-9_.:/-]+|[\x{4e00}-\x{9fff}]"
 #: Licences that source code may come under.
 LICENSES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "isc", "mit", "unlicense")
@@ -33,12 +33,15 @@ def nfkc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+    """Without white space at both ends; looks at the ends only, however many blanks are between."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalise(text: Column) -> Column:
     """NFC, line ends as line feeds, no leading byte-order mark, no blank ends."""
-    lines = F.regexp_replace(nfc(text), "\r\n?", "\n")
+    # Only texts outside ASCII, which alone can change, go through Python.
+    composed = F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    lines = F.regexp_replace(composed, "\r\n?", "\n")
     return strip(F.regexp_replace(lines, r"\A\x{FEFF}", ""))
 
 

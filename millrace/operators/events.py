@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.sampling import folded, previous
+
 
 def runs_of_equal(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Gaps and islands: ``key, value, first, last, n`` of consecutive equal values."""
@@ -17,8 +18,8 @@ def runs_of_equal(rows: DataFrame, key: str, order: list[str], value: str) -> Da
 
 def gaps(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     """Places where a key's sequence doesn't go on by one: ``key, after, before, missing``."""
-    w = Window.partitionBy(key).orderBy(sequence)
-    return rows.select(key, F.lag(sequence).over(w).alias("after"), F.col(sequence).alias("before")).where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)
+    placed = previous(rows.select(key, sequence), key, sequence, "after")
+    return placed.select(key, "after", F.col(sequence).alias("before")).where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)
 
 
 def idempotent(rows: DataFrame, key: list[str], body: str, order: list[str], row_id: str) -> DataFrame:
@@ -30,24 +31,16 @@ def idempotent(rows: DataFrame, key: list[str], body: str, order: list[str], row
 
 
 def rate_limit(rows: DataFrame, key: str, at: str, row_id: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Sliding window per key: allowed if fewer than ``limit`` allowed ones in the last ``seconds``.
+    """``key, row_id, allowed``: allowed if fewer than ``limit`` allowed ones lie in the last ``seconds``.
 
-    Denials don't count, so each decision depends on the ones before: a key's rows are
-    folded in order, by a state of at most ``limit`` times, batch by batch.
+    Denials don't count, so each decision depends on the ones before: a key's rows pass in
+    order, and what is kept of them is ``limit`` times at most.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, row_id])
-        kept: list = []
-        out = []
-        for t in pdf[at]:
-            while kept and kept[0] <= t - pd.Timedelta(seconds=seconds):
-                kept.pop(0)
-            ok = len(kept) < limit
-            if ok:
-                kept.append(t)
-            out.append(ok)
-        return pd.DataFrame({key: pdf[key], row_id: pdf[row_id], "allowed": out})
-
-    rows = rows.select(key, row_id, at)
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {rows.schema[key].dataType.simpleString()}, {row_id} {rows.schema[row_id].dataType.simpleString()}, allowed boolean")
+    def step(kept, _key, t, _row):
+        kept = [x for x in kept if x > t - seconds * 1_000_000]
+        ok = len(kept) < limit
+        return (kept + [t] if ok else kept), ok
+
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return folded(rows.select(key, micros.alias("at"), row_id), key, ["at", row_id], list, step, "allowed boolean").drop("at")

@@ -20,7 +20,7 @@ def chunks(docs: DataFrame, row_id: str, text: str, lines: int = 40, overlap: in
     starts = F.filter(F.sequence(F.lit(0), F.size("l") - 1, F.lit(step)), lambda s: (s == 0) | (s + overlap < F.size("l")))
     parts = split.select(row_id, "l", F.explode(starts).alias("s"))
     out = parts.select(row_id, (F.col("s") + 1).cast("long").alias("start_line"), F.least(F.size("l"), F.col("s") + lines).cast("long").alias("end_line"), F.array_join(F.slice("l", F.col("s") + 1, lines), "\n").alias("excerpt"))
-    return out.withColumn("excerpt", F.regexp_replace("excerpt", r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+\z", "")).where("excerpt <> ''")
+    return out.withColumn("excerpt", F.btrim("excerpt", F.lit(" \t\n\r\f\x0b"))).where("excerpt <> ''")
 
 
 def query_terms(query: str, most: int = 20) -> list[str]:

@@ -3,31 +3,62 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import materialize
+from millrace.session import bound_batches, fresh, materialize
 
 
 def hash_order(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed), F.lit("\0"), key.cast("string")), 256)
 
 
-def running(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """``rows`` with ``cum``, the running sum of ``value`` within ``key`` by ``order``.
+def dealt_by_range(rows: DataFrame, keys: list[str], order: list[str], part: str) -> DataFrame:
+    """``rows`` dealt by range of (keys, order) and written, with the number of the range as ``part``.
+
+    One large key is spread over many tasks; a range exchange samples anew each time it
+    runs, so what it dealt is written once.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ends = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    return materialize(rows.repartitionByRange(n, *ends).withColumn(part, F.spark_partition_id()), "dealt")
+
+
+def running(rows: DataFrame, key: str | list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``cum``, the running sum of ``value`` within ``key`` (one column or more) by ``order``.
 
     Rows are dealt by range of (key, order) and each stretch's total is carried over, so
     one large key is summed by many tasks.
     """
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = materialize(rows.repartitionByRange(n, key, *order).withColumn("__p", F.spark_partition_id()), "dealt")
-    totals = dealt.groupBy("__p", key).agg(F.sum(value).alias("__t"))
-    carry = totals.select(F.col("__p").alias("__q"), F.col(key).alias("__k"), (F.sum("__t").over(Window.partitionBy(key).orderBy("__p")) - F.col("__t")).alias("__c"))
-    own = F.sum(value).over(Window.partitionBy("__p", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    summed = dealt.withColumn("__own", own)
-    return summed.join(carry, (summed["__p"] == carry["__q"]) & summed[key].eqNullSafe(carry["__k"])).select(*rows.columns, (F.col("__own") + F.col("__c")).alias("cum"))
+    keys = [key] if isinstance(key, str) else list(key)
+    part, at, total, carry, own, *theirs = fresh(rows.columns, "part", "at", "total", "carry", "own", *[f"of_{k}" for k in keys])
+    dealt = dealt_by_range(rows, keys, order, part)
+    totals = dealt.groupBy(part, *keys).agg(F.sum(value).alias(total))
+    before = F.sum(total).over(Window.partitionBy(*keys).orderBy(part)) - F.col(total)
+    carried = totals.select(F.col(part).alias(at), *[F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)], before.alias(carry))
+    stretch = Window.partitionBy(part, *keys).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)], F.col(part) == F.col(at))
+    return dealt.withColumn(own, F.sum(value).over(stretch)).join(carried, on).select(*rows.columns, (F.col(own) + F.col(carry)).alias("cum"))
+
+
+def previous(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the ``order`` of the row before within ``key``; null for a key's first.
+
+    Dealt by range as in ``running``: a stretch's first row takes the largest ``order`` of
+    the stretches before.
+    """
+    part, at, most, carry, of_key = fresh([*rows.columns, name], "part", "at", "most", "carry", "of_key")
+    dealt = dealt_by_range(rows, [key], [order], part)
+    ends = dealt.groupBy(part, key).agg(F.max(order).alias(most))
+    carried = ends.select(F.col(part).alias(at), F.col(key).alias(of_key), F.lag(most).over(Window.partitionBy(key).orderBy(part)).alias(carry))
+    before = F.lag(order).over(Window.partitionBy(part, key).orderBy(F.col(order).asc_nulls_first()))
+    on = (F.col(part) == F.col(at)) & F.col(key).eqNullSafe(F.col(of_key))
+    return dealt.withColumn(name, before).join(carried, on).select(*rows.columns, F.coalesce(name, carry).alias(name))
 
 
 def closest_prefix(rows: DataFrame, key: str, order: list[str], size: str, targets: DataFrame) -> DataFrame:
@@ -56,57 +87,132 @@ def exact_budget(rows: DataFrame, key: str, order: list[str], size: str, targets
     return summed.select(*rows.columns, epochs.alias("epochs"), part.cast("long").alias("trimmed"), (epochs * F.col(size) + part).cast("long").alias("taken"))
 
 
-class SortedRooms:
-    """Bins that have room, as one sorted list of (room, bin): the first that suffices is the best fit."""
+class _Rooms:
+    """Bins by the room they have left: for each room, stretches of bin numbers in order."""
 
     def __init__(self):
-        self.rooms: list[tuple[int, int]] = []
-        self.made = 0
-
-    def place(self, need: int, capacity: int) -> int:
-        at = bisect_left(self.rooms, (need, -1))
-        room, number = self.rooms.pop(at) if at < len(self.rooms) else (capacity, self.made)
-        self.made = max(self.made, number + 1)
-        if room > need:
-            insort(self.rooms, (room - need, number))
-        return number
-
-
-def pack_best_fit(rows: DataFrame, key: str, row_id: str, size: str, capacity: int, salt: int = 1) -> DataFrame:
-    """Best-fit-decreasing bins within each key, and within each of ``salt`` hash parts of it.
+        self.sizes: list[int] = []
+        self.bins: dict[int, list[tuple[int, int]]] = {}
+
+    def put(self, room: int, first: int, end: int) -> None:
+        if first < end and room:
+            if room not in self.bins:
+                insort(self.sizes, room)
+                self.bins[room] = []
+            insort(self.bins[room], (first, end))
+
+    def take(self, need: int) -> tuple[int, int, int] | None:
+        """The first stretch of the least room that suffices."""
+        at = bisect_left(self.sizes, need)
+        if at == len(self.sizes):
+            return None
+        room = self.sizes[at]
+        first, end = self.bins[room].pop(0)
+        if not self.bins[room]:
+            del self.bins[room], self.sizes[at]
+        return room, first, end
+
+
+def best_fit_stretches(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
+    """``size, start, each, first``: where best-fit-decreasing puts items, given how many there are of each size.
+
+    Items of a size are alike, so a bin that is chosen takes as many of them as it has
+    room for, and then the next of its stretch: from place ``start`` (of all items by
+    falling size) on, ``each`` items go into every bin from ``first`` on. A size cuts one
+    stretch at most, so there are no more of them than sizes and bins' rooms, whatever the
+    number of items.
+    """
+    rooms, made, place, out = _Rooms(), 0, 0, []
+    for size, left in sorted(counts, reverse=True):
+        while left:
+            found = rooms.take(size)
+            room, first, end = found or (capacity, made, made + -(-left // (capacity // size)))
+            each = room // size
+            used = min(end - first, -(-left // each))
+            out.append((size, place, each, first))
+            taken = min(left, used * each)
+            short = used * each - taken  # the last bin may stay short of some
+            whole = used - (short > 0)
+            rooms.put(room - each * size, first, first + whole)
+            if short:
+                rooms.put(room - (each - short) * size, first + whole, first + used)
+            if found:
+                rooms.put(room, first + used, end)
+            made, place, left = max(made, first + used), place + taken, left - taken
+    return out
+
+
+def pack_best_fit(rows: DataFrame, key: str, row_id: str, size: str, capacity: int) -> DataFrame:
+    """``key, row_id, size, bin, reason``: best-fit-decreasing bins within each key, for every row.
 
     Rows go by falling size, then id; each goes into the fullest bin that still takes it,
-    the earliest of equals. The order of choices is sequential, so a part is one task's
-    work; a large key is packed in ``salt`` parts, whose bins differ from those of one.
+    the earliest of equals. Choices are sequential, but rows of a size are alike: a task
+    per key decides over counts by size (``capacity`` numbers at most), and rows find
+    their bins by their place in the order. A row over the capacity has no bin and the
+    reason ``sequence_too_long``, one without a positive size ``no_tokens``.
     """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, row_id], ascending=[False, True])
-        open_bins = SortedRooms()
-        bins = [open_bins.place(s, capacity) for s in pdf[size].tolist()]
-        return pd.DataFrame({key: pdf[key], row_id: pdf[row_id], size: pdf[size], "part": pdf["part"], "bin": bins})
-
-    part = F.pmod(F.xxhash64(row_id), F.lit(salt)).cast("int")
-    rows = rows.where((F.col(size) <= capacity) & (F.col(size) > 0)).select(key, row_id, F.col(size).cast("long").alias(size), part.alias("part"))
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {row_id} {rows.schema[row_id].dataType.simpleString()}, {size} long, part int, bin long"
-    return rows.groupBy(key, "part").applyInPandas(pack, schema)
+    rows = rows.select(key, row_id, F.col(size).cast("long").alias(size))
+    reason = F.when(F.col(size) > capacity, "sequence_too_long").when(F.coalesce(F.col(size) <= 0, F.lit(True)), "no_tokens")
+    good = rows.where(reason.isNull())
+    kind = rows.schema[key].dataType.simpleString()
+
+    def plan(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = best_fit_stretches(list(zip(pdf["s"].tolist(), pdf["c"].tolist(), strict=True)), capacity)
+        return pd.DataFrame([(k[0], *f) for f in found], columns=["k", "s", "start", "each", "first"])
+
+    k, n, stretches, at, falling, one = fresh([*rows.columns, "cum"], "k", "n", "stretches", "at", "falling", "one")
+    counts = good.groupBy(F.col(key).alias("k"), F.col(size).alias("s")).agg(F.count("*").alias("c"))
+    plans = counts.groupBy("k").applyInPandas(plan, f"k {kind}, s long, start long, each long, first long")
+    plans = plans.groupBy(F.col("k").alias(k), F.col("s").alias(n)).agg(F.collect_list(F.struct("start", "each", "first")).alias(stretches))
+    placed = running(good.withColumns({falling: -F.col(size), one: F.lit(1)}), key, [falling, row_id], one).withColumn("cum", F.col("cum") - 1)
+    joined = placed.join(plans, F.col(key).eqNullSafe(F.col(k)) & (F.col(size) == F.col(n)))
+    joined = joined.withColumn(at, F.array_max(F.filter(stretches, lambda x: x["start"] <= F.col("cum"))))
+    number = F.col(at)["first"] + F.floor((F.col("cum") - F.col(at)["start"]) / F.col(at)["each"])
+    found = joined.select(key, row_id, size, number.alias("bin"), F.lit(None).cast("string").alias("reason"))
+    return found.unionAll(rows.select(key, row_id, size, F.lit(None).cast("long").alias("bin"), reason.alias("reason")).where("reason is not null"))
+
+
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, out: str) -> DataFrame:
+    """``rows`` with what ``step(state, *row) -> (state, value)`` gives, row by row within ``key`` by ``order``; ``out`` is ``name type``.
+
+    For choices that hang on the ones before. A key's rows pass through one task in order,
+    batch by batch: what is held is one batch and the state, never the key's rows.
+    """
+    name, kind = out.split()
+    bound_batches(rows.sparkSession)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sort = [F.col(c).asc_nulls_first() for c in [key, *order]]
+    dealt = rows.repartition(n, key).sortWithinPartitions(*sort)
+    columns = rows.columns
+
+    def run(batches):
+        last, state, begun = None, None, False
+        for batch in batches:
+            values = []
+            data = batch.to_pydict()
+            for row in zip(*(data[c] for c in columns), strict=True):
+                k = row[columns.index(key)]
+                if not begun or k != last:
+                    last, state, begun = k, start(), True
+                state, value = step(state, *row)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.bool_() if kind == "boolean" else pa.int64())], names=[*columns, name])
+
+    return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {out}")
 
 
 def next_fit(rows: DataFrame, key: str, order: list[str], size: str, capacity: int) -> DataFrame:
-    """Greedy bins that keep the order: a new bin starts where a row doesn't fit.
+    """``rows`` with ``bin``: greedy bins that keep the order; a new bin starts where a row doesn't fit.
 
-    Each key's rows stream through one task in order; what it keeps is one counter.
+    A row over the capacity has a bin of its own. See ``folded`` for how keys are dealt.
     """
+    at = rows.columns.index(size)
+
+    def step(state, *row):
+        b, used = state
+        s = row[at] or 0
+        if used and used + s > capacity:
+            b, used = b + 1, 0
+        return (b, used + s), b
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        bins, b, used = [], 0, 0
-        for s in pdf[size].tolist():
-            if used and used + s > capacity:
-                b, used = b + 1, 0
-            used += s
-            bins.append(b)
-        return pdf.assign(bin=bins)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bin long"
-    return rows.groupBy(key).applyInPandas(pack, schema)
+    return folded(rows, key, order, lambda: (0, 0), step, "bin long")

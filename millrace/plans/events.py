@@ -42,7 +42,13 @@ def q_expiry(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.max(F.col("event_type") == "purchase").alias("done")).select("user_id", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"), ((F.col("last_ts") < F.expr("timestamp_ntz'2024-01-29 00:00:00'")) & ~F.col("done")).alias("expired"))
 
 
-@register("q_rate_limit")
+@register(
+    "q_rate_limit",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    p(user_id, i, event_id, allowed, kept) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, []::BIGINT[] FROM o UNION ALL
+    SELECT user_id, i, event_id, len(near) < 2, CASE WHEN len(near) < 2 THEN list_append(near, t) ELSE near END FROM (SELECT o.*, list_filter(p.kept, lambda x: x > o.t - 3600000000) AS near FROM p JOIN o ON o.i = p.i + 1 AND o.user_id IS NOT DISTINCT FROM p.user_id))
+    SELECT user_id, event_id, allowed FROM p WHERE i > 0""",
+)
 def q_rate_limit(spark, sf_dir):
     return E.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=2, seconds=3600)
 

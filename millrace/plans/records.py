@@ -10,6 +10,7 @@ from millrace.functions import render
 from millrace.functions import text as X
 from millrace.operators import selection
 from millrace.plans.registry import register
+from millrace.plans.sampling import _NEXT_FIT
 from millrace.plans.tables import table
 from millrace.session import let
 
@@ -141,20 +142,10 @@ def q_unpack(spark, sf_dir):
 
 @register(
     "q_trim_supervision",
-    """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:60], lambda w: CASE WHEN len(w) % 3 = 0 THEN -100 ELSE len(w) END::INT) AS l FROM documents), u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS x FROM s),
-    n AS (SELECT *, sum(CASE WHEN x <> -100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM u) SELECT s.doc_id, coalesce(list(CASE WHEN x = -100 OR k <= 10 THEN x ELSE -100 END::INT ORDER BY p) FILTER (p IS NOT NULL), []::INT[]) AS labels FROM s LEFT JOIN n ON s.doc_id = n.doc_id GROUP BY s.doc_id""",
-)
-def q_trim_supervision(spark, sf_dir):
-    """The first 60 words, as its SQL; ``q_trim_supervision_all`` takes all."""
-    return _trimmed(spark, sf_dir, F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 60))
-
-
-@register(
-    "q_trim_supervision_all",
     """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda w: CASE WHEN len(w) % 3 = 0 THEN -100 ELSE len(w) END::INT) AS l FROM documents), u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS x FROM s),
     n AS (SELECT *, sum(CASE WHEN x <> -100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM u) SELECT s.doc_id, coalesce(list(CASE WHEN x = -100 OR k <= 10 THEN x ELSE -100 END::INT ORDER BY p) FILTER (p IS NOT NULL), []::INT[]) AS labels FROM s LEFT JOIN n ON s.doc_id = n.doc_id GROUP BY s.doc_id""",
 )
-def q_trim_supervision_all(spark, sf_dir):
+def q_trim_supervision(spark, sf_dir):
     return _trimmed(spark, sf_dir, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
 
 
@@ -208,26 +199,6 @@ def q_tag_calls(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", calls.alias("calls"))
 
 
-def _call_match(events):
-    expected = F.lit('[{"name":"a","args":{"x":1},"group":1},{"name":"b","args":{},"mode":"subset","group":1},{"name":"c","args":{}}]')
-    good = F.lit('[{"name":"b","args":{"y":2}},{"name":"a","args":{"x":1}},{"name":"c","args":{}}]')
-    plain = F.lit('[{"name":"a","args":{"x":1}},{"name":"b","args":{}},{"name":"c","args":{}}]')
-    wrong = F.lit('[{"name":"c","args":{}},{"name":"a","args":{"x":1}},{"name":"b","args":{}}]')
-    actual = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, plain).otherwise(wrong)
-    return events.select("event_id", R.calls_match(expected, actual).alias("matched"))
-
-
-@register("q_call_match", "SELECT event_id, event_id % 3 <> 2 AS matched FROM events WHERE event_id < 3000")
-def q_call_match(spark, sf_dir):
-    """The events that its SQL takes; ``q_call_match_all`` takes all."""
-    return _call_match(table(spark, sf_dir, "events").where("event_id < 3000"))
-
-
-@register("q_call_match_all", "SELECT event_id, event_id % 3 <> 2 AS matched FROM events")
-def q_call_match_all(spark, sf_dir):
-    return _call_match(table(spark, sf_dir, "events"))
-
-
 @register("q_toy_sequences", "SELECT i AS sequence_id, list_transform(range(0, 16), lambda p: ((i * 7 + (1 + i % 5) * p) % 97)::INT) AS input_ids FROM (SELECT unnest(range(0, 500)) AS i)")
 def q_toy_sequences(spark, sf_dir):
     ids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: ((F.col("id") * 7 + (1 + F.col("id") % 5) * p) % 97).cast("int"))
@@ -348,7 +319,7 @@ def q_redact_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", '"(page|token|secret)": *"[^"]*"', '"$1": "[redacted]"').alias("props"))
 
 
-@register("q_shard_split")
+@register("q_shard_split", f"WITH RECURSIVE {_NEXT_FIT.format(key='lang', cap=200_000)} SELECT k AS lang, bin, count(*) AS n, sum(s)::BIGINT AS n_chars, min(doc_id) AS first FROM p GROUP BY 1, 2")
 def q_shard_split(spark, sf_dir):
     from millrace.operators.sampling import next_fit
 
@@ -400,18 +371,9 @@ def q_nested_user_text(spark, sf_dir):
 
 @register(
     "q_replace_block",
-    """SELECT doc_id, CASE WHEN a > 0 AND b > a THEN list_concat(list_concat(w[1:a - 1], ['<>']), w[b + 1:len(w)]) ELSE w END AS tokens FROM (SELECT doc_id, w, list_position(w, 'the') AS a, list_position(w, 'and') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:40] AS w FROM documents))""",
-)
-def q_replace_block(spark, sf_dir):
-    """The first 40 words, as its SQL; ``q_replace_block_all`` takes all."""
-    return _block_replaced(spark, sf_dir, F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 40))
-
-
-@register(
-    "q_replace_block_all",
     """SELECT doc_id, CASE WHEN a > 0 AND b > a THEN list_concat(list_concat(w[1:a - 1], ['<>']), w[b + 1:len(w)]) ELSE w END AS tokens FROM (SELECT doc_id, w, list_position(w, 'the') AS a, list_position(w, 'and') AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))""",
 )
-def q_replace_block_all(spark, sf_dir):
+def q_replace_block(spark, sf_dir):
     return _block_replaced(spark, sf_dir, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
 
 

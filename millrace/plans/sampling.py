@@ -137,13 +137,25 @@ def q_exact_budget(spark, sf_dir):
     return sampling.exact_budget(docs, "source", ["k", "doc_id"], "n_chars", targets).drop("k")
 
 
-@register("q_pack_best_fit")
+_NEXT_FIT = """o AS (SELECT {key} AS k, doc_id, n_chars AS s, row_number() OVER (PARTITION BY {key} ORDER BY doc_id) AS i FROM documents),
+    p(k, i, doc_id, s, bin, used) AS (SELECT k, i, doc_id, s, 0::BIGINT, s FROM o WHERE i = 1 UNION ALL
+    SELECT o.k, o.i, o.doc_id, o.s, p.bin + CASE WHEN p.used > 0 AND p.used + o.s > {cap} THEN 1 ELSE 0 END, CASE WHEN p.used > 0 AND p.used + o.s > {cap} THEN o.s ELSE p.used + o.s END FROM p JOIN o ON o.i = p.i + 1 AND o.k IS NOT DISTINCT FROM p.k)"""
+
+
+@register(
+    "q_pack_best_fit",
+    """WITH RECURSIVE o AS (SELECT lang, doc_id, n_chars AS s, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM documents WHERE n_chars BETWEEN 1 AND 4096),
+    p(lang, i, doc_id, s, bin, rooms) AS (SELECT DISTINCT lang, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM o UNION ALL
+    SELECT lang, i, doc_id, s, CASE WHEN best IS NULL THEN len(rooms) ELSE list_position(rooms, best) - 1 END::BIGINT, CASE WHEN best IS NULL THEN list_append(rooms, 4096 - s) ELSE list_concat(list_append(rooms[1:list_position(rooms, best) - 1], best - s), rooms[list_position(rooms, best) + 1:len(rooms)]) END
+    FROM (SELECT o.lang, o.i, o.doc_id, o.s, p.rooms, list_min(list_filter(p.rooms, lambda r: r >= o.s)) AS best FROM p JOIN o ON o.i = p.i + 1 AND o.lang IS NOT DISTINCT FROM p.lang))
+    SELECT lang, doc_id, s AS n_chars, bin, NULL::VARCHAR AS reason FROM p WHERE i > 0 UNION ALL SELECT lang, doc_id, n_chars, NULL, CASE WHEN n_chars > 4096 THEN 'sequence_too_long' ELSE 'no_tokens' END FROM documents WHERE n_chars NOT BETWEEN 1 AND 4096 OR n_chars IS NULL""",
+)
 def q_pack_best_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
     return sampling.pack_best_fit(rows, "lang", "doc_id", "n_chars", 4096)
 
 
-@register("q_next_fit")
+@register("q_next_fit", f"WITH RECURSIVE {_NEXT_FIT.format(key='source', cap=8192)} SELECT k AS source, doc_id, s AS n_chars, bin FROM p")
 def q_next_fit(spark, sf_dir):
     return sampling.next_fit(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 8192)
 
@@ -166,23 +178,11 @@ def q_pack_arrays(spark, sf_dir):
 
 @register(
     "q_pad_mask",
-    """SELECT doc_id, list_concat(t, list_transform(range(0, 32 - len(t)), lambda x: 0::INT)) AS input_ids, list_concat(list_transform(t, lambda x: 1::INT), list_transform(range(0, 32 - len(t)), lambda x: 0::INT)) AS attention_mask
-    FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:32], lambda w: len(w)::INT) AS t FROM documents)""",
-)
-def q_pad_mask(spark, sf_dir):
-    ids = F.slice(F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.length(w)), 1, 32)
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("t"))
-    pad = F.array_repeat(F.lit(0), F.lit(32) - F.size("t"))
-    return rows.select("doc_id", F.concat("t", pad).alias("input_ids"), F.concat(F.transform("t", lambda x: F.lit(1)), pad).alias("attention_mask"))
-
-
-@register(
-    "q_pad_mask_all",
     """SELECT doc_id, CASE WHEN ok THEN list_concat(t, list_transform(range(0, 2048 - len(t)), lambda x: 0::INT)) END AS input_ids, CASE WHEN ok THEN list_concat(list_transform(t, lambda x: 1::INT), list_transform(range(0, 2048 - len(t)), lambda x: 0::INT)) END AS attention_mask, CASE WHEN NOT ok THEN 'length_outside_contract' END AS reason
     FROM (SELECT doc_id, t, len(t) BETWEEN 2 AND 2048 AS ok FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda w: len(w)::INT) AS t FROM documents))""",
 )
-def q_pad_mask_all(spark, sf_dir):
-    """Whole texts of 2 to 2048 words, padded; others are rejected, none is cut. ``q_pad_mask`` takes the first 32 words, as its SQL."""
+def q_pad_mask(spark, sf_dir):
+    """Whole texts of 2 to 2048 words, padded; others are rejected, none is cut."""
     ids = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.length(w))
     rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("t")).withColumn("ok", F.size("t").between(2, 2048))
     pad = F.array_repeat(F.lit(0), F.lit(2048) - F.size("t"))

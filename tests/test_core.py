@@ -126,6 +126,69 @@ def test_packing(spark):
     assert [fit[i] for i in range(10)] == [0, 1, 1, 2, 2, 3, 3, 4, 5, 6]
 
 
+def best_fit(sizes, capacity):
+    rooms, out = [], {}
+    for i, s in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= s]
+        if fits:
+            b = min(fits)[1]
+            rooms[b] -= s
+        else:
+            b = len(rooms)
+            rooms.append(capacity - s)
+        out[i] = b
+    return out
+
+
+def test_best_fit_by_counts_is_best_fit_one_by_one(spark):
+    rng = random.Random(3)
+    for n, capacity, top in ((0, 5, 5), (1, 5, 5), (300, 10, 10), (300, 64, 20), (300, 64, 64), (400, 1000, 400)):
+        sizes = [rng.randint(1, top) for _ in range(n)]
+        wanted, got, place = best_fit(sizes, capacity), {}, 0
+        stretches = sampling.best_fit_stretches(list(Counter(sizes).items()), capacity)
+        for place, (i, s) in enumerate(sorted(enumerate(sizes), key=lambda x: (-x[1], x[0]))):
+            size, start, each, first = max((x for x in stretches if x[1] <= place), key=lambda x: x[1])
+            assert size == s
+            got[i] = first + (place - start) // each
+        assert got == wanted and len(stretches) <= 4 * len(set(sizes)) + 1
+    sizes = [rng.randint(0, 60) for _ in range(200)] + [70, 71]
+    rows = spark.createDataFrame([(["x", None][i % 7 == 0], i, s, 1) for i, s in enumerate(sizes)], "k string, i long, s long, n int").repartition(5)
+    found = {r["i"]: (r["bin"], r["reason"]) for r in sampling.pack_best_fit(rows, "k", "i", "s", 64).collect()}
+    assert len(found) == len(sizes)
+    for part in (0, 1):
+        own = [(i, s) for i, s in enumerate(sizes) if (i % 7 == 0) == part and 0 < s <= 64]
+        bins = best_fit([s for _, s in own], 64)
+        assert {i: found[i] for i, _ in own} == {i: (bins[j], None) for j, (i, _) in enumerate(own)}
+    assert {found[i][1] for i, s in enumerate(sizes) if s > 64} == {"sequence_too_long"} and {found[i][1] for i, s in enumerate(sizes) if s == 0} == {"no_tokens"}
+
+
+def test_strip_is_linear_in_inner_blanks(spark):
+    """A megabyte of blanks inside a text, and one of blanks at its end."""
+    import time
+
+    rows = spark.createDataFrame([("a" + " " * (1 << 20) + "b",), (" \u3000" + "c" + "\t" * (1 << 20),)], "t string")
+    rows.select(F.length(X.strip(F.col("t")))).collect()
+    began = time.perf_counter()
+    assert [r[0] for r in rows.select(F.length(X.strip(F.col("t")))).collect()] == [(1 << 20) + 2, 1]
+    assert time.perf_counter() - began < 5
+
+
+def test_previous_and_folded_pass_ranges(spark):
+    rng = random.Random(5)
+    data = [(["a", "b", None][i % 3], i, rng.randint(1, 9)) for i in rng.sample(range(1000), 300)]
+    rows = spark.createDataFrame(data, "k string, i long, v long").repartition(4)
+    got = {r["i"]: r["p"] for r in sampling.previous(rows, "k", "i", "p").collect()}
+    for k in ("a", "b", None):
+        own = sorted(i for x, i, _ in data if x == k)
+        assert [got[i] for i in own] == [None, *own[:-1]]
+    bins = {r["i"]: r["bin"] for r in sampling.next_fit(rows, "k", ["i"], "v", 20).collect()}
+    for k in ("a", "b", None):
+        b, used = 0, 0
+        for i, v in sorted((i, v) for x, i, v in data if x == k):
+            b, used = (b + 1, v) if used and used + v > 20 else (b, used + v)
+            assert bins[i] == b
+
+
 def test_percentiles(spark):
     for n in (1, 2, 3, 7, 20, 21, 100):
         data = sorted(random.Random(n).choices(range(50), k=n))

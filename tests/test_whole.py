@@ -6,18 +6,18 @@ from millrace.plans.tables import table
 
 def test_call_match_takes_every_event(spark, sf_dir):
     events = table(spark, "/root/testdata/sf0.01", "events").count()
-    assert events > 3000 and registry.QUERIES["q_call_match_all"](spark, "/root/testdata/sf0.01").count() == events
+    assert events > 3000 and registry.QUERIES["q_call_match"](spark, "/root/testdata/sf0.01").count() == events
 
 
 def test_no_word_is_cut(spark):
     sf = "/root/testdata/sf0.01"
     words = {r["doc_id"]: len(r["text"].split()) for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
-    labels = {r["doc_id"]: len(r["labels"]) for r in registry.QUERIES["q_trim_supervision_all"](spark, sf).collect()}
+    labels = {r["doc_id"]: len(r["labels"]) for r in registry.QUERIES["q_trim_supervision"](spark, sf).collect()}
     assert labels == words and max(words.values()) > 60
-    padded = registry.QUERIES["q_pad_mask_all"](spark, sf).collect()
+    padded = registry.QUERIES["q_pad_mask"](spark, sf).collect()
     assert {r["doc_id"] for r in padded if r["reason"]} == {d for d, n in words.items() if not 2 <= n <= 2048}
     assert all(len(r["input_ids"]) == 2048 and sum(r["attention_mask"]) == words[r["doc_id"]] for r in padded if not r["reason"])
-    blocks = registry.QUERIES["q_replace_block_all"](spark, sf).collect()
+    blocks = registry.QUERIES["q_replace_block"](spark, sf).collect()
     assert sum("<>" in r["tokens"] for r in blocks) == 415
 
 
