@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_bucket, split_of
 from millrace.operators.graph import connected_components
-from millrace.session import materialize
+from millrace.session import discard, materialize
 
 
 def exact_winners(rows: DataFrame, key: str, order: list[str], carried: list[str] = ()) -> DataFrame:
@@ -57,27 +57,48 @@ def safe_split(components: DataFrame, row_id: str, seed: str = "split-v1") -> Da
     return components.join(ids, "component").select(row_id, "component", "n_members", "component_id", split.alias("split"))
 
 
-def root_paths(nodes: DataFrame, node: str, parent: str, rounds: int = 40) -> DataFrame:
+def root_paths(nodes: DataFrame, node: str, parent: str, rounds: int = 40, flags: str | None = None) -> DataFrame:
     """``node, root, depth, status`` by pointer doubling: a round doubles the known path.
 
     ``status`` is ``ok``, ``missing_parent`` (a named parent is no node; its child is the
     root found) or ``cycle`` (root and depth are null). Depth counts edges to the root.
+    With ``flags`` (a column of bits) the result has ``flags`` too: the bits that any node
+    from this one to its root has.
     """
-    ids = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    bits = F.lit(0).cast("long") if flags is None else F.coalesce(F.col(flags), F.lit(0)).cast("long")
+    ids = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), bits.alias("f"))
     known = ids.select(F.col("n").alias("k")).distinct()
     linked = ids.join(known, ids["p"] == known["k"], "left")
-    state = linked.select("n", F.coalesce("k", "n").alias("up"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("d"), (F.col("p").isNotNull() & F.col("k").isNull()).alias("lost"), F.col("k").isNull().alias("done"))
+    state = linked.select("n", F.coalesce("k", "n").alias("up"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("d"), (F.col("p").isNotNull() & F.col("k").isNull()).alias("lost"), F.col("k").isNull().alias("done"), "f")
     state = materialize(state, "paths")
     total = state.count()
     for _ in range(rounds):
-        above = state.select(F.col("n").alias("un"), F.col("up").alias("uup"), F.col("d").alias("ud"), F.col("lost").alias("ulost"), F.col("done").alias("udone"))
+        above = state.select(F.col("n").alias("un"), F.col("up").alias("uup"), F.col("d").alias("ud"), F.col("lost").alias("ulost"), F.col("done").alias("udone"), F.col("f").alias("uf"))
         step = state.join(above, state["up"] == above["un"])
-        state = materialize(step.select("n", F.when(F.col("done"), F.col("up")).otherwise(F.col("uup")).alias("up"), F.when(F.col("done"), F.col("d")).otherwise(F.col("d") + F.col("ud")).alias("d"), F.when(F.col("done"), F.col("lost")).otherwise(F.col("ulost")).alias("lost"), (F.col("done") | F.col("udone")).alias("done")), "paths")
+        own = lambda mine, theirs: F.when(F.col("done"), mine).otherwise(theirs)
+        step = step.select(
+            "n", own(F.col("up"), F.col("uup")).alias("up"), own(F.col("d"), F.col("d") + F.col("ud")).alias("d"), own(F.col("lost"), F.col("ulost")).alias("lost"),
+            (F.col("done") | F.col("udone")).alias("done"), F.col("f").bitwiseOR(F.col("uf")).alias("f"),
+        )
+        before, state = state, materialize(step, "paths")
+        discard(before)
         open_ = state.where("not done").count()
         if not open_ or state.agg(F.max("d")).first()[0] > 2 * total:
             break
     status: Column = F.when(~F.col("done"), "cycle").when(F.col("lost"), "missing_parent").otherwise("ok")
-    return state.select(F.col("n").alias("node"), F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("d")).alias("depth"), status.alias("status"))
+    found = state.select(F.col("n").alias("node"), F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("d")).alias("depth"), status.alias("status"), F.col("f").alias("flags"))
+    return found if flags is not None else found.drop("flags")
+
+
+def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """``node, path``: the nodes from one to its root, by doubling; for trees without cycles or missing parents."""
+    state = materialize(nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.array(node).alias("path")), "ancestors")
+    while state.where("up is not null").limit(1).count():
+        above = state.select(F.col("n").alias("un"), F.col("up").alias("uup"), F.col("path").alias("upath"))
+        step = state.join(above, state["up"] == above["un"], "left")
+        before, state = state, materialize(step.select("n", F.col("uup").alias("up"), F.when(F.col("un").isNull(), F.col("path")).otherwise(F.concat("path", "upath")).alias("path")), "ancestors")
+        discard(before)
+    return state.select(F.col("n").alias("node"), "path")
 
 
 def latest_by(rows: DataFrame, key: list[str], order: list, n: int = 1) -> DataFrame:

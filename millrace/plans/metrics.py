@@ -199,13 +199,6 @@ def q_call_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.parse_calls(raw).alias("p")).select("conv_id", "turn", "p.value", "p.status")
 
 
-@register("q_json_repair")
-def q_json_repair(spark, sf_dir):
-    body = F.concat(F.lit('"id": '), F.col("event_id").cast("string"), F.lit(', "kind": "'), F.col("event_type"), F.lit('"'))
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n{"), body, F.lit("}\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("{"), body)).when(F.col("event_id") % 4 == 2, body).otherwise(F.concat(F.lit("{"), body, F.lit(",}")))
-    return table(spark, sf_dir, "events").select("event_id", parsing.repair_json(raw).alias("p")).select("event_id", "p.value", "p.status")
-
-
 @register("q_props_json", "SELECT event_id, json_extract_string(props, '$.page') AS page, list_sort(json_keys(props)) AS keys FROM events")
 def q_props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.array_sort(F.json_object_keys("props")).alias("keys"))

@@ -166,39 +166,11 @@ def q_tool_pairing(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("calls"), F.count_if(F.col("role") == "assistant").alias("results"), F.count_if(answered).alias("unpaired"))
 
 
-@register("q_visible_content", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE ltrim(text) END AS visible FROM conversations")
-def q_visible_content(spark, sf_dir):
-    raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>"), "text")).otherwise(F.concat(F.lit("<think>a</think> "), "text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.visible_content(raw).alias("visible"))
-
-
-@register("q_sse_usage", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN user_id END AS tokens FROM events")
-def q_sse_usage(spark, sf_dir):
-    body = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("tokens")).alias("usage")))
-    line = F.when(F.col("event_id") % 5 == 0, F.lit("data: [DONE]")).otherwise(F.concat(F.lit("data: "), body))
-    parsed = F.from_json(R.sse_data(line), "kind string, usage struct<tokens: long>")
-    return table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", F.col("p.kind").alias("kind"), F.col("p.usage.tokens").alias("tokens"))
-
-
 @register("q_json_limits")
 def q_json_limits(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.json_limits("props").alias("p")).select("event_id", "p.bytes", "p.depth", "p.nodes")
 
 
-@register("q_csv_inventory", "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS memory FROM part")
-def q_csv_inventory(spark, sf_dir):
-    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.when(F.col("p_partkey") % 7 == 0, "[N/A]").otherwise(F.col("p_size").cast("string")))
-    parsed = F.from_csv(line, "p_partkey bigint, name string, memory string")
-    return table(spark, sf_dir, "part").select(parsed.alias("p")).select("p.p_partkey", "p.name", F.expr("try_cast(p.memory AS INT)").alias("memory"))
-
-
-@register("q_tag_calls", "SELECT conv_id, turn, [role, 'b'] AS calls FROM conversations")
-def q_tag_calls(spark, sf_dir):
-    text = F.concat(F.lit("x <tool_call>\n"), "role", F.lit("\n</tool_call> y <tool_call>b</tool_call>"))
-    calls = F.transform(R.tag_calls(text), lambda x: F.btrim(x, F.lit("\n ")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", calls.alias("calls"))
-
-
 @register("q_toy_sequences", "SELECT i AS sequence_id, list_transform(range(0, 16), lambda p: ((i * 7 + (1 + i % 5) * p) % 97)::INT) AS input_ids FROM (SELECT unnest(range(0, 500)) AS i)")
 def q_toy_sequences(spark, sf_dir):
     ids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: ((F.col("id") * 7 + (1 + F.col("id") % 5) * p) % 97).cast("int"))

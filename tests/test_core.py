@@ -206,9 +206,25 @@ def test_parsers():
     for bad in ("", "[]", "f()", "[f(a)]", "[f(a=1, a=2)]", "[f(a=x())]", "[f(a=1]", "[f(),]"):
         with pytest.raises(ValueError):
             parsing.bracket_calls(bad)
-    for text, action in (('{"a": 1}', "none"), ('```json\n{"a": 1}\n```', "strip_code_fence"), ('"a": 1', "add_braces"), ('{"a": 1', "add_closing_brace"), ("{a: 1}", "quote_keys"), ('{"a": 1,}', "drop_trailing_comma"), ("no", "unrepaired")):
-        value, got = parsing.repaired(text)
-        assert got == action and (action == "unrepaired" or json.loads(value) == {"a": 1})
+    cases = {
+        '{"a": 1}': ("none", 1), "7": ("wrap_single_key", 7), '"a": 1': ("brace_member_fragment", 1), '{"a": 1': ("close_object", 1), "```JSON\n{\"a\": 1}\n```": ("unwrap_json_fence", 1),
+        '{b: "x, a: 2", a: 1}': ("quote_bare_keys", 1), '["a"] => [1]': ("arrow_single_key", [1]), "one": ("wrap_bareword_single_key", "one"),
+        '{"in": {"a": 1, "c": 2}}': ("promote_required_keys", 1), '{"in": {"a": 1}': ("close_object_promote_required_keys", 1),
+    }
+    for text, (action, leaf) in cases.items():
+        value, got = parsing.repaired(text, ("a",))
+        assert got == action and json.loads(value)["a"] == leaf
+    assert json.loads(parsing.repaired('{b: "x, a: 2", a: 1}', ("a",))[0])["b"] == "x, a: 2"  # leaves stay as they are
+    assert json.loads(parsing.repaired('{"in": {"a": 1, "c": 2}}', ("a",))[0]) == {"a": 1, "in": {"c": 2}}
+    first = {"wrap_single_key", "brace_member_fragment", "close_object", "none"}
+    for text, (action, _) in cases.items():
+        assert parsing.repaired(text, ("a",), 0) == (text, "none")
+        assert parsing.repaired(text, ("a",), 1)[1] == (action if action in first else "none")
+        assert parsing.repaired(text, ("a",), 2)[1] == ("none" if action == "close_object_promote_required_keys" else action)
+    for text in ("no {json", "null", '{"x,}": 1,}', "[1, 2", "", '{"in": {"b": 1}}'):
+        assert parsing.repaired(text, ("a", "b")) == (text, "none")
+    shape = parsing.json_shape({"a": [1, 2.5, True, None], "b": "x", "c": [], "d": [{}, {}]})
+    assert shape["properties"]["a"]["items"] == {"anyOf": [{"type": t} for t in ("integer", "number", "boolean", "null")]} and shape["properties"]["c"] == {"type": "array"} and shape["required"] == list("abcd")
 
 
 def test_think_block(spark):
@@ -309,5 +325,41 @@ def test_canonical_conversation():
     for text, want in ((None, "invalid_row_shape"), ("{}", "invalid_row_shape"), (row(("user", "q"), tools=("a b", "a_b")), "invalid_tool_schema"), (row(("user", "q"), ("assistant", "[g()]")), "malformed_tool_call"), (row(("user", "q"), ("tool", "r")), "unpaired_tool_result"), (row(("assistant", "q")), "invalid_role_path")):
         assert records.canonical_conversation(text, 0) == (None, want)
     assert records.call_from_json('{"name": "f", "arguments": {}}', frozenset("f")) and not records.call_from_json('{"name": "g", "arguments": {}}', frozenset("f"))
-    one = [{"name": "a", "args": {"x": 1}}]
-    assert records.trajectory_matches(one, one) and not records.trajectory_matches(one, []) and not records.trajectory_matches(one, [{"name": "a", "args": {"x": 2}}])
+
+
+def test_trajectories_and_scores(spark):
+    """Stages in order, names in order within a stage, exact and subset arguments, statuses."""
+    from millrace.functions import calls
+
+    call = "struct<name: string, args: map<string, string>, mode: string, band: int, status: string>"
+    e = lambda name, band=None, mode="exact", **args: (name, args, mode, band, "ok")
+    a = lambda name, status="ok", **args: (name, args, None, None, status)
+    cases = [
+        ([e("f", x="1")], [a("f", x="1")], True, True), ([e("f", x="1")], [a("f", x="2")], True, False), ([e("f", x="1")], [], False, False), ([], [], True, True),
+        ([e("f", mode="subset", x="1")], [a("f", x="1", y="2")], True, True), ([e("f", x="1")], [a("f", x="1", y="2")], True, False), ([e("f", mode="subset", x="1")], [a("f")], True, False),
+        ([e("f"), e("g")], [a("g"), a("f")], False, False), ([e("f", 1), e("g", 1)], [a("g"), a("f")], True, True), ([e("f", 1), e("g", 2)], [a("g"), a("f")], False, False),
+        ([e("f", 1, x="1"), e("f", 1, x="2")], [a("f", x="2"), a("f", x="1")], True, False), ([e("f")], [a("f", "failed")], True, False), ([e("f")], [a("f", "not_executed")], True, True),
+    ]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y, _, _) in enumerate(cases)], f"i int, e array<{call}>, a array<{call}>")
+    got = rows.select("i", calls.names_match(F.col("e"), F.col("a")), calls.calls_match(F.col("e"), F.col("a"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[2:] for c in cases]
+
+
+def test_tagged_calls():
+    names = {"look up": "look_up"}
+    assert records.tagged("a <tool_call>{'name': 'look up', 'arguments': {'x': 1}}</tool_call> b", names) == ("a  b", [{"name": "look_up", "arguments": {"x": 1}}])
+    assert records.tag_call('\\n{"arguments": {"name": "look up", "y": 2}}\\n', names) == {"name": "look_up", "arguments": {"y": 2}}
+    for bad in ("<tool_call>", "<tool_call>{}</tool_call>", '<tool_call>{"name": "x", "arguments": {}}</tool_call>', "</tool_call><tool_call>", "<tool_call>f()</tool_call>"):
+        with pytest.raises(ValueError):
+            records.tagged(bad, names)
+
+    def row(*turns, tools=("f x",), **more):
+        listed = json.dumps([{"type": "function", "function": {"name": t}} for t in tools])
+        return json.dumps({"id": "1", "category": "", "subcategory": "", "task": "", "tools": listed, "conversations": [{"from": a, "value": b} for a, b in turns]} | more)
+
+    head, call = [("system", "s"), ("human", "h")], '<tool_call>{"name": "f x", "arguments": {}}</tool_call>'
+    value, reason = records.tag_conversation(row(*head, ("gpt", call), ("tool", " <tool_response> r </tool_response>")), 4)
+    assert reason is None and json.loads(value)["messages"][2:] == [{"role": "assistant", "content": None, "tool_calls": [{"id": "call_4_2_0", "name": "f_x", "arguments": {}}]}, {"role": "tool", "content": "r", "tool_call_ids": ["call_4_2_0"]}]
+    for text, want in ((row(*head, more=1), "invalid_row_shape"), (None, "invalid_row_shape"), (row(*head), "invalid_role_path"), (row(*head, ("gpt", call), tools=()), "invalid_tool_schema"), (row(*head, ("gpt", call), tools=("a b", "a_b")), "invalid_tool_schema"), (row(*head, ("gpt", "<tool_call>")), "malformed_tool_call"), (row(*head, ("gpt", "x"), ("tool", "r")), "unpaired_tool_result")):
+        assert records.tag_conversation(text, 0) == (None, want)
+    assert records.tag_profile(row(*head, ("gpt", call + "<tool_call>x</tool_call>"))) == ("malformed_tool_call", "system>human>gpt", 1, 1, 1)
