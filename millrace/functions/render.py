@@ -39,6 +39,43 @@ def render(messages: Column, mode: str = "plain") -> Column:
     return F.aggregate(F.transform(messages, parts), start, add)
 
 
+#: What a conversation with tools begins with where it has no system message, and how tools are told.
+TOOL_SYSTEM = "Use the provided tools when required and answer from evidence."
+TOOL_INTRO = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n"
+TOOL_OUTRO = "\n</tools>\n\nFor each function call, return a JSON object with function name and arguments within <tool_call></tool_call> XML tags."
+
+
+def render_tools(messages: Column, tools: Column) -> Column:
+    """``text, spans`` of an array of ``role, content, calls`` with the tools' signatures (JSON texts).
+
+    ``calls`` are JSON texts of an assistant's calls. A leading system message, or a
+    standing one, tells the tools; neighbouring tool results are one user message; an
+    empty think block before an assistant's part is outside its span.
+    """
+    start, end = F.lit(START), F.lit(END + "\n")
+    told = lambda system: F.concat(start, F.lit("system\n"), system, F.when(F.size(tools) > 0, F.concat(F.lit("\n\n" + TOOL_INTRO), F.array_join(tools, "\n"), F.lit(TOOL_OUTRO))).otherwise(""), end)
+    own = F.get(messages, F.lit(0))
+    led = F.coalesce(own["role"] == "system", F.lit(False))
+    system = F.when(led & (F.coalesce(own["content"], F.lit("")) != ""), own["content"]).otherwise(TOOL_SYSTEM)
+    rest = F.when(led, F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages)
+    zero = F.struct(told(system).alias("text"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"), F.lit(False).alias("tool"))
+
+    def add(a: Column, m: Column) -> Column:
+        said = F.coalesce(m["content"], F.lit(""))
+        called = F.transform(F.coalesce(m["calls"], F.array().cast("array<string>")), lambda c: F.concat(F.lit("<tool_call>\n"), c, F.lit("\n</tool_call>")))
+        body = F.array_join(F.concat(F.when(said != "", F.array(said)).otherwise(F.array().cast("array<string>")), called), "\n")
+        head = F.concat(a["text"], start, F.lit("assistant\n" + NO_THINKING))
+        answer = F.concat(F.lit("<tool_response>\n"), said, F.lit("\n</tool_response>"))
+        # A further result goes into the message that the one before has ended.
+        open_ = F.when(a["tool"], F.concat(F.substring(a["text"], F.lit(1), F.length(a["text"]) - len(END) - 1), F.lit("\n"))).otherwise(F.concat(a["text"], start, F.lit("user\n")))
+        span = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(body) + len(END)).alias("end"))
+        assistant, tool = m["role"] == "assistant", m["role"] == "tool"
+        text = F.when(assistant, F.concat(head, body, end)).when(tool, F.concat(open_, answer, end)).otherwise(F.concat(a["text"], start, m["role"], F.lit("\n"), said, end))
+        return F.struct(text.alias("text"), F.when(assistant, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"), tool.alias("tool"))
+
+    return F.aggregate(rest, zero, add, lambda a: F.struct(a["text"].alias("text"), a["spans"].alias("spans")))
+
+
 def label_mask(tokens: Column, spans: Column) -> Column:
     """Labels of ``id, start, end`` tokens: the id inside a span, -100 outside, null where a token crosses an end."""
 

@@ -82,3 +82,17 @@ def floor_bp(part: Column, whole: Column) -> Column:
 def even_bp(part: Column, whole: Column) -> Column:
     """Basis points, halves to even; 10 000 where the whole is 0."""
     return F.when(whole != 0, F.bround(part * 10_000 / whole)).otherwise(10_000).cast("long")
+
+
+def repetition(text: Column) -> Column:
+    """``tokens, unique_bp, repeated_bp, max_line_repeat``: words, distinct ones, repeated 8-word grams, and the most frequent line."""
+    from millrace.session import let
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    grams = lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.array_join(F.slice(w, i + 1, 8), " "))).otherwise(F.array().cast("array<string>"))
+    by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).alias("u"), let(grams(w), lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("u"))).alias("g")))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    # Runs of equal lines in the sorted list: the longest is the largest repeat.
+    runs = let(F.array_sort(lines), lambda s: F.aggregate(s, F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(1).alias("m")), lambda a, x: let(F.when(a["last"] == x, a["n"] + 1).otherwise(1), lambda n: F.struct(x.alias("last"), n.alias("n"), F.greatest(a["m"], n).alias("m"))), lambda a: a["m"]))
+    repeated = lambda w: F.when(w["g"]["n"] == 0, 0).otherwise(even_bp(w["g"]["n"] - w["g"]["u"], w["g"]["n"])).cast("long")
+    return let(by_word, lambda w: F.struct(w["n"].alias("tokens"), even_bp(w["u"], w["n"]).alias("unique_bp"), repeated(w).alias("repeated_bp"), runs.cast("long").alias("max_line_repeat")))

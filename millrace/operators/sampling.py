@@ -72,13 +72,17 @@ def closest_prefix(rows: DataFrame, key: str, order: list[str], size: str, targe
     return summed.join(ends, key).where(F.col("cum") <= F.col("end")).drop("end")
 
 
-def exact_budget(rows: DataFrame, key: str, order: list[str], size: str, targets: DataFrame) -> DataFrame:
+def exact_budget(rows: DataFrame, key: str, order: list[str], size: str, targets: DataFrame, cap: int | None = None) -> DataFrame:
     """Whole epochs and a cut of each key's rows that take exactly its ``target``.
 
     Every row is used ``target div total`` times; rows then follow by ``order`` until the
     rest is used up, the last one trimmed: ``uses`` and ``trimmed`` (size of the part).
+    With ``cap`` no row is used more often than that; keys whose target would need it are
+    an error, found before anything is dealt.
     """
     totals = rows.groupBy(key).agg(F.sum(size).alias("total")).join(targets, key).where("total > 0")
+    if cap is not None and (over := totals.where(F.col("target") > cap * F.col("total")).count()):
+        raise ValueError(f"{over} keys need a row more than {cap} times")
     summed = running(rows, key, order, size).join(totals, key)
     rest = F.col("target") % F.col("total")
     before = F.col("cum") - F.col(size)

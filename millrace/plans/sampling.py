@@ -45,14 +45,8 @@ def q_near_duplicates(spark, sf_dir):
     SELECT u.doc_id, n_words, unique_bp, CASE WHEN g.n IS NULL THEN 0 ELSE round_even((g.n - g.u) * 10000 / g.n, 0) END::BIGINT AS repeated_bp, coalesce(l.m, 1)::BIGINT AS max_line_repeat FROM u LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)""",
 )
 def q_repetition_metrics(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    grams = lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.array_join(F.slice(w, i + 1, 8), " "))).otherwise(F.array().cast("array<string>"))
-    by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).alias("u"), let(grams(w), lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_distinct(g)).alias("u"))).alias("g")))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    # Runs of equal lines in the sorted list: the longest is the largest repeat.
-    runs = let(F.array_sort(lines), lambda s: F.aggregate(s, F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(1).alias("m")), lambda a, x: let(F.when(a["last"] == x, a["n"] + 1).otherwise(1), lambda n: F.struct(x.alias("last"), n.alias("n"), F.greatest(a["m"], n).alias("m"))), lambda a: a["m"]))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(by_word.alias("w"), runs.cast("long").alias("max_line_repeat")))))
-    return rows.select("doc_id", F.col("w.n_words").alias("n_words"), X.even_bp(F.col("w.u"), F.col("w.n_words")).alias("unique_bp"), F.when(F.col("w.g.n") == 0, 0).otherwise(X.even_bp(F.col("w.g.n") - F.col("w.g.u"), F.col("w.g.n"))).cast("long").alias("repeated_bp"), "max_line_repeat")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(X.repetition(F.col("text")))))
+    return rows.withColumnRenamed("tokens", "n_words")
 
 
 _FP = "sha256(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
