@@ -36,6 +36,46 @@ def q_near_duplicates(spark, sf_dir):
     return similarity.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_LIKE = f"""{_SHINGLES}, d AS (SELECT DISTINCT doc_id, s FROM sh), z AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    like_ AS (SELECT a, b, x.n = y.n AND c = x.n AS same, c / (x.n + y.n - c) AS j FROM j JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 20 * c >= 17 * (x.n + y.n - c))"""
+
+
+@register(
+    "q_duplicate_report",
+    f"""WITH {_LIKE}, p AS (SELECT same, j, x.source IS NOT DISTINCT FROM y.source AS inner_ FROM like_ JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b)
+    SELECT 'equal' AS kind, count(*) FILTER (same AND inner_) AS within, count(*) FILTER (same AND NOT inner_) AS across, CASE WHEN count(*) FILTER (same) > 0 THEN 10000 ELSE 0 END AS max_bp FROM p UNION ALL SELECT 'near', count(*) FILTER (NOT same AND inner_), count(*) FILTER (NOT same AND NOT inner_), coalesce(round_even(max(j) FILTER (NOT same) * 10000, 0), 0)::INT FROM p""",
+)
+def q_duplicate_report(spark, sf_dir):
+    return similarity.duplicate_report(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+_HEAD = _SHINGLES.replace("t AS (", "ht AS (", 1).replace(" sh AS (", " hs AS (").replace("FROM t WHERE", "FROM ht WHERE").replace("FROM documents", "FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)")
+
+
+@register(
+    "q_cross_source_near",
+    f"""WITH {_LIKE}, {_HEAD}, hd AS (SELECT DISTINCT doc_id, s FROM hs), hz AS (SELECT doc_id, count(*) AS n FROM hd GROUP BY doc_id),
+    hl AS (SELECT l.a, l.b, any_value(x.n) + any_value(y.n) AS n, count(h.s) AS c FROM like_ l JOIN hz x ON x.doc_id = l.a JOIN hz y ON y.doc_id = l.b JOIN hd g ON g.doc_id = l.a JOIN hd h ON h.doc_id = l.b AND h.s = g.s GROUP BY 1, 2),
+    w AS (SELECT a, b FROM hl WHERE 20 * c >= 17 * (n - c)), p AS (SELECT a AS x, b AS y FROM w UNION ALL SELECT b, a FROM w)
+    SELECT DISTINCT d.doc_id, d.source FROM p JOIN documents d ON d.doc_id = x JOIN documents e ON e.doc_id = y WHERE e.source < d.source""",
+)
+def q_cross_source_near(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+    return similarity.cross_source_losers(docs, "doc_id", "text", "head", "source")
+
+
+@register(
+    "q_contam_near",
+    f"""WITH {_LIKE}, x AS (SELECT doc_id, lang, doc_id % 5 = 0 AS target, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS t FROM documents), q AS (SELECT CASE WHEN m.target THEN m.lang ELSE n.lang END AS target, m.t = n.t AS equal, j FROM like_ JOIN x m ON m.doc_id = a JOIN x n ON n.doc_id = b WHERE m.target <> n.target)
+    SELECT v.lang AS target, count(*) FILTER (equal) AS exact, count(*) FILTER (NOT equal) AS near, coalesce(round_even(max(j) * 10000, 0), 0)::INT AS max_bp FROM (SELECT DISTINCT lang FROM x WHERE target AND lang IS NOT NULL) v LEFT JOIN q ON q.target = v.lang GROUP BY v.lang""",
+)
+def q_contam_near(spark, sf_dir):
+    """A fifth of the documents stands for evaluation sets, one per language; the query set is no cut of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return similarity.contamination(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0 and lang is not null"), "doc_id", "text", "lang")
+
+
 @register(
     "q_repetition_metrics",
     """WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -86,10 +86,13 @@ def test_near_duplicates_large_buckets_lose_no_link(spark, pairwise):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     own = similarity.classes(rows)
-    nodes = own.where("doc_id = node").select("node", "hashes")
-    graph = {r["node"]: r["component"] for r in dedup.connected_components(similarity.links(nodes, pairwise=pairwise, leaders=2)).collect()}
+    nodes = similarity.distinct_nodes(own)
+    graph = {r["node"]: r["component"] for r in dedup.connected_components(similarity.links(nodes, pairwise=pairwise)).collect()}
     got = {r["doc_id"]: graph.get(r["node"], r["node"]) for r in own.select("doc_id", "node").collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+    alike = {(r["a"], r["b"]) for r in similarity.similar_pairs(nodes, 0.8, pairwise).collect()}
+    node = {r["doc_id"]: r["node"] for r in own.collect()}
+    assert alike == {tuple(sorted((node[i], node[j]))) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
 def test_running_sums_and_prefix(spark):
