@@ -200,7 +200,7 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
                     last, state, begun = k, start(), True
                 state, value = step(state, *row)
                 values.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.bool_() if kind == "boolean" else pa.int64())], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, {"boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}[kind])], names=[*columns, name])
 
     return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {out}")
 

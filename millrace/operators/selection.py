@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.records import visible_text
+from millrace.functions.records import call_from_json, visible_text
+from millrace.operators.sampling import folded
 from millrace.session import fresh, materialize
 
 
@@ -104,3 +105,28 @@ def frames(chunks: Iterator[str]) -> Iterator[tuple[str, str]]:
             more = now[len(shown) :] if now.startswith(shown) else ""
             shown = now if now.startswith(shown) else shown
             yield frame, more
+
+
+def repair_stream(chunks: DataFrame, key: str, order: str, text: str, tools: frozenset[str], end: str = "[DONE]") -> DataFrame:
+    """``chunks`` with ``out``: a call that is written as plain JSON, in pieces, comes out as one call where it is whole.
+
+    Chunks before a call pass; from the first that starts with a brace on they are held
+    back. Once they make a call of a known tool, that chunk gives the call and later ones
+    nothing. At the ``end`` mark an unfinished call is an error. A key carries its pieces
+    so far and whether it is done.
+    """
+    at = chunks.columns.index(text)
+
+    def step(state, *row):
+        pieces, done = state
+        chunk = row[at]
+        if chunk == end:
+            return state, "error:tool_parser_error" if pieces and not done else end
+        if done or not chunk:
+            return state, None
+        if not pieces and not chunk.lstrip().startswith("{"):
+            return state, chunk
+        call = call_from_json(pieces + chunk, tools)
+        return (pieces + chunk, call is not None), call
+
+    return folded(chunks, key, [order], lambda: ("", False), step, "out string")

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from millrace.plans import calls, events, importing, metrics, prepare, records, sampling, streams, tokens  # noqa: F401
+    from millrace.plans import audits, calls, events, importing, metrics, prepare, records, sampling, streams, tokens  # noqa: F401
 
 
 load()

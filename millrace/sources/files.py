@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.session import remove
+from millrace.session import fresh, remove
 
 MARKER = "_COMMITTED.json"
 
@@ -58,9 +58,11 @@ def verify_artifacts(spark: SparkSession, path: str, expected: DataFrame) -> Dat
 
 
 def tree_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 over sorted ``name, size, sha256`` lines; one line per file goes to the driver."""
-    lines = artifact_digests(spark, path).orderBy("name", "sha256").select(F.concat_ws("\0", "name", F.col("size").cast("string"), "sha256").alias("x"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256)).first()[0]
+    """A digest of all files' names, sizes and contents: a sum over hashes, which needs no list of files in one place."""
+    line = F.concat_ws("\0", "name", F.col("size").cast("string"), "sha256")
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 14), 16, 10).cast("decimal(38,0)")
+    n, total = artifact_digests(spark, path).agg(F.count("*"), F.sum(part)).first()
+    return f"{n:x}-{int(total or 0):x}"
 
 
 def write_jsonl(rows: DataFrame, path: str, order: list[str] = (), compression: str = "none") -> None:
@@ -124,3 +126,70 @@ def run_manifests(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """``run.json`` files anywhere below ``root``, with their place."""
     rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "run.json").json(root)
     return rows.select("*", F.col("_metadata.file_path").alias("manifest_path"))
+
+
+def alias(first: Column, second: Column) -> tuple[Column, Column]:
+    """A value that goes by two names, and whether the two disagree; blank texts are no values."""
+    one, two = (F.when(F.trim(c) != "", c) for c in (first, second))
+    return F.coalesce(one, two), F.coalesce(one != two, F.lit(False))
+
+
+def benchmark_evidence(rows: DataFrame, key: list[str], run: str = "run_id", status: str = "status") -> DataFrame:
+    """Rows that passed, once no key and no run is there twice among them; else SourceError with the number of such."""
+    good = rows.where(F.col(status) == "pass")
+    for columns in (key, [run]):
+        if twice := good.groupBy(*columns).count().where("count > 1").count():
+            raise SourceError(f"{twice} values of {', '.join(columns)} have several results")
+    return good
+
+
+def read_evidence(spark: SparkSession, root: str, schema: StructType | str, key: list[str], name: str = "summary.json") -> DataFrame:
+    """Results in files of one name anywhere below ``root``."""
+    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root)
+    return benchmark_evidence(rows, key)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds events to a log of JSON lines; what is there stays, and a failed append leaves nothing."""
+    rows.select(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
+def follow(log: DataFrame, key: str, sequence: str, terminal: Column, after: Column | int = 0) -> DataFrame:
+    """A log's rows after a cursor, up to each key's first terminal event; one combinable minimum per key."""
+    of, last = fresh(log.columns, "of", "last")
+    ends = log.groupBy(F.col(key).alias(of)).agg(F.min(F.when(terminal, F.col(sequence))).alias(last))
+    joined = log.join(ends, F.col(key).eqNullSafe(F.col(of)))
+    return joined.where((F.col(sequence) > after) & F.coalesce(F.col(sequence) <= F.col(last), F.lit(True))).select(*log.columns)
+
+
+def acquire(spark: SparkSession, origin: str, cache: str, name: str, size: int, sha256: str, offline: bool = False) -> str:
+    """The place of a pinned file in the cache: taken from ``origin`` where it isn't there yet, checked, then renamed into place.
+
+    Offline a file that isn't cached is an error; so is one whose size or digest differs,
+    which never gets its name.
+    """
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = fs_path(f"{cache}/{sha256}/{name}")
+    fs = target.getFileSystem(conf)
+
+    def check(path: str) -> None:
+        expected = spark.createDataFrame([(path.rsplit("/", 1)[-1], size, sha256)], "name string, size long, sha256 string")
+        if bad := verify_artifacts(spark, path, expected).first():
+            raise SourceError(f"{name}: {bad['reason']}")
+
+    if not fs.exists(target):
+        if offline:
+            raise SourceError(f"{name} is not cached")
+        staging = fs_path(f"{cache}/{sha256}/staging-{uuid.uuid4().hex}")
+        source = fs_path(origin)
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, staging, False, conf)
+        try:
+            check(staging.toString())
+            if not fs.rename(staging, target) and not fs.exists(target):
+                raise SourceError(f"{name} can't be moved into place")
+        finally:
+            if fs.exists(staging):
+                fs.delete(staging, False)
+    check(target.toString())
+    return target.toString()

@@ -366,3 +366,68 @@ def test_tagged_calls():
     for text, want in ((row(*head, more=1), "invalid_row_shape"), (None, "invalid_row_shape"), (row(*head), "invalid_role_path"), (row(*head, ("gpt", call), tools=()), "invalid_tool_schema"), (row(*head, ("gpt", call), tools=("a b", "a_b")), "invalid_tool_schema"), (row(*head, ("gpt", "<tool_call>")), "malformed_tool_call"), (row(*head, ("gpt", "x"), ("tool", "r")), "unpaired_tool_result")):
         assert records.tag_conversation(text, 0) == (None, want)
     assert records.tag_profile(row(*head, ("gpt", call + "<tool_call>x</tool_call>"))) == ("malformed_tool_call", "system>human>gpt", 1, 1, 1)
+
+
+def test_sources_pinned_files_evidence_and_logs(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "origin").mkdir()
+    data = b"pinned"
+    (tmp_path / "origin" / "a.bin").write_bytes(data)
+    pin = ("a.bin", len(data), hashlib.sha256(data).hexdigest())
+    origin, cache = str(tmp_path / "origin" / "a.bin"), str(tmp_path / "cache")
+    with pytest.raises(files.SourceError):
+        files.acquire(spark, origin, cache, *pin, offline=True)
+    with pytest.raises(files.SourceError):
+        files.acquire(spark, origin, cache, "a.bin", len(data), "0" * 64)
+    place = files.acquire(spark, origin, cache, *pin)
+    assert files.acquire(spark, "/nowhere", cache, *pin, offline=True) == place
+    for i, (run, status) in enumerate([("r1", "pass"), ("r2", "fail"), ("r3", "pass")]):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "summary.json").write_text(json.dumps({"run_id": run, "status": status, "world": i % 2}, indent=1))
+        (tmp_path / "runs" / run / "run.json").write_text(json.dumps({"run_id": run}))
+    schema = "run_id string, status string, world int"
+    with pytest.raises(files.SourceError):
+        files.read_evidence(spark, str(tmp_path / "runs"), schema, ["world"])
+    (tmp_path / "runs" / "r3" / "summary.json").write_text(json.dumps({"run_id": "r3", "status": "pass", "world": 5}))
+    assert sorted(r["run_id"] for r in files.read_evidence(spark, str(tmp_path / "runs"), schema, ["world"]).collect()) == ["r1", "r3"]
+    assert files.run_manifests(spark, str(tmp_path / "runs"), "run_id string").count() == 3
+    (tmp_path / "array.json").write_text(json.dumps([{"i": 1}, {"i": 2}]))
+    assert files.read_json_array(spark, str(tmp_path / "array.json"), "i int").count() == 2
+    assert files.tree_digest(spark, str(tmp_path / "origin")) == files.tree_digest(spark, str(tmp_path / "origin"))
+
+
+def test_redaction_and_changed_paths():
+    assert records.redacted({"a": [{"API-key": 1, "b": {"mySecret": {"c": 2}}}], "tokens": 3, "d": 4}) == {"a": [{"API-key": "[REDACTED]", "b": {"mySecret": "[REDACTED]"}}], "tokens": "[REDACTED]", "d": 4}
+    assert records.changed_paths({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"x": 1, "y": 3, "z": 0}, "b": {}}) == ["a.y", "a.z", "b"]
+    assert records.changed_paths(1, 2) == ["<root>"] and records.changed_paths({}, {}) == []
+
+
+def test_importers_check_types_as_written(spark):
+    from millrace.operators import importing
+
+    good = {"message_tree_id": "t", "message_id": "m", "parent_id": None, "text": " hi", "role": "prompter", "lang": "EN", "review_result": True, "deleted": False, "tree_state": "ready_for_export"}
+    rows = [good, good | {"message_id": "n", "parent_id": "m", "role": "assistant"}, good | {"message_id": 5}, good | {"message_id": "o", "deleted": 0}, good | {"message_id": "p", "parent_id": " "}, {k: v for k, v in good.items() if k != "lang"}, [1], good | {"message_id": "q", "text": 1.5}]
+    lines = [json.dumps(r) for r in rows] + ["no json", None]
+    accepted, rejected = importing.import_tree(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "place long, line string"))
+    only = accepted.collect()
+    assert len(only) == 1 and [tuple(m) for m in only[0]["messages"]] == [("user", " hi"), ("assistant", " hi")] and only[0]["group_id"] == "t" and len(only[0]["raw_sha256s"]) == 2
+    assert sorted((r["record_id"], r["reason"], r["field"]) for r in rejected.collect()) == sorted([
+        ("row-00000002", "malformed_row", "message_id"), ("o", "malformed_row", "deleted"), ("p", "malformed_row", "parent_id"), ("m", "malformed_row", "lang"), ("row-00000006", "malformed_row", "message_tree_id"),
+        ("q", "malformed_row", "text"), ("row-00000008", "malformed_row", "message_tree_id"), ("row-00000009", "malformed_row", "message_tree_id"),
+    ])
+    none, nothing = importing.import_code_edits(spark.createDataFrame([], "place long, line string"))
+    assert none.count() == nothing.count() == 0
+
+
+def test_tokenize_refuses_a_crossing_token(spark):
+    from millrace.operators import tokens
+
+    rows = spark.createDataFrame([(1, "ab cd", [(0, 2)]), (2, None, [])], "i int, t string, s array<struct<start: int, end: int>>")
+    got = {r["i"]: r for r in tokens.tokenize(rows, "t", "s", tokens.words, 5).collect()}
+    assert got[1]["labels"] == [2, -100] and got[2]["reason"] == "no_supervised_tokens"
+    crossing = spark.createDataFrame([(1, "ab cd", [(1, 3)])], rows.schema)
+    with pytest.raises(Exception, match="crosses"):
+        tokens.tokenize(crossing, "t", "s", tokens.words, 5).collect()
+    with pytest.raises(ValueError):
+        sampling.exact_budget(rows.selectExpr("i", "1 n"), "i", ["n"], "n", rows.selectExpr("i", "7 target"), cap=3)
