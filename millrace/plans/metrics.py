@@ -192,7 +192,11 @@ def q_think_parse(spark, sf_dir):
     return rows.select("conv_id", "turn", "reasoning", "answer", "reason")
 
 
-@register("q_call_parse")
+@register(
+    "q_call_parse",
+    r"""WITH r AS (SELECT conv_id, turn, '[search(query=' || chr(39) || regexp_replace(text, '[\x27\\\n]', '', 'g') || chr(39) || ', limit=' || turn || '), open(id=[1, 2])' || CASE WHEN turn % 3 = 2 THEN '' ELSE ']' END AS raw FROM conversations), p AS (SELECT *, regexp_matches(raw, '(?s)^\[search\(query=\x27[^\x27]*\x27, limit=[0-9]+\), open\(id=\[1, 2\]\)\]$') AS ok FROM r)
+    SELECT conv_id, turn, CASE WHEN ok THEN '[{"arguments":{"limit":' || regexp_extract(raw, ', limit=([0-9]+)\), open', 1) || ',"query":' || to_json(regexp_extract(raw, '(?s)query=\x27([^\x27]*)\x27', 1)) || '},"name":"search"},{"arguments":{"id":[1,2]},"name":"open"}]' END AS value, CASE WHEN ok THEN 'ok' ELSE 'malformed_tool_call' END AS status FROM p""",
+)
 def q_call_parse(spark, sf_dir):
     text = F.concat(F.lit("[search(query='"), F.regexp_replace("text", r"['\\\n]", ""), F.lit("', limit="), F.col("turn").cast("string"), F.lit("), open(id=[1, 2])")) 
     raw = F.when(F.col("turn") % 3 == 2, text).otherwise(F.concat(text, F.lit("]")))

@@ -166,7 +166,7 @@ def q_tool_pairing(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("calls"), F.count_if(F.col("role") == "assistant").alias("results"), F.count_if(answered).alias("unpaired"))
 
 
-@register("q_json_limits")
+@register("q_json_limits", "SELECT event_id, strlen(props)::INT AS bytes, max(len(fullkey) - len(replace(replace(fullkey, '.', ''), '[', '')) + 1)::INT AS depth, count(*)::INT AS nodes FROM events, json_tree(events.props) GROUP BY event_id, props")
 def q_json_limits(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.json_limits("props").alias("p")).select("event_id", "p.bytes", "p.depth", "p.nodes")
 
@@ -253,19 +253,31 @@ def q_label_mask(spark, sf_dir):
     return labels.select("conv_id", F.size(F.filter("h", lambda x: x == -100)).cast("long").alias("n_roles"), F.size(F.filter("e", lambda x: x == 1)).cast("long").alias("n_spans"))
 
 
-@register("q_candidate_selection")
+@register(
+    "q_candidate_selection",
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, sha256(lower(text)) AS trace FROM conversations), o AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS i, list(struct_pack(u := turn, h := trace) ORDER BY turn) AS x FROM c GROUP BY conv_id),
+    p(i, conv_id, pick, taken) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::STRUCT(u BIGINT, h VARCHAR), []::VARCHAR[] UNION ALL SELECT i, conv_id, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1].h) ELSE taken END FROM (SELECT o.i, o.conv_id, p.taken, list_filter(o.x, lambda e: NOT list_contains(p.taken, e.h)) AS free FROM p JOIN o ON o.i = p.i + 1))
+    SELECT conv_id, pick.u AS turn, pick.h AS trace FROM p WHERE pick IS NOT NULL""",
+)
 def q_candidate_selection(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.lower("text"), 256).alias("trace"))
     return selection.first_distinct(rows, "conv_id", "turn", "trace")
 
 
-@register("q_frames")
+@register(
+    "q_frames",
+    """WITH c AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 1 THEN '<think>' ELSE '</think>' END || text || chr(10) || chr(10) || 'next', '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), f AS (SELECT conv_id, unnest(list_filter(string_split(t, chr(10) || chr(10)), lambda x: x <> '')) AS frame, generate_subscripts(list_filter(string_split(t, chr(10) || chr(10)), lambda x: x <> ''), 1) - 1 AS number FROM c),
+    s AS (SELECT *, ltrim(substr(string_agg(frame, '') OVER (PARTITION BY conv_id ORDER BY number), 9), ' ' || chr(10) || chr(9)) AS now FROM f) SELECT conv_id, number, frame, substr(now, coalesce(len(lag(now) OVER (PARTITION BY conv_id ORDER BY number)), 0) + 1) AS visible FROM s""",
+)
 def q_frames(spark, sf_dir):
     text = F.concat(F.when(F.col("turn") % 2 == 1, "<think>").otherwise("</think>"), F.col("text"), F.lit("\n\nnext"))
     return selection.reassemble(table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("chunk")), "conv_id", "turn", "chunk")
 
 
-@register("q_canonical_rows")
+@register(
+    "q_canonical_rows",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"messages":[{"content":' || to_json(event_type) || ',"role":"user"},{"content":null,"role":"assistant","tool_calls":[{"arguments":{"q":1},"id":"call_' || event_id || '_1_0","name":"look_up"}]},{"content":"ok","role":"tool","tool_call_ids":["call_' || event_id || '_1_0"]},{"content":"done","role":"assistant"}],"tools":["look_up"]}' END AS value, CASE WHEN event_id % 3 > 0 THEN 'malformed_tool_call' END AS reason FROM events""",
+)
 def q_canonical_rows(spark, sf_dir):
     call = F.when(F.col("event_id") % 3 == 0, "[look up(q=1)]").when(F.col("event_id") % 3 == 1, "[look up(q=]").otherwise("fine")
     message = lambda role, value: F.struct(F.lit(role).alias("from"), value.alias("value"))

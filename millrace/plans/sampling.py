@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import sampling, similarity
+from millrace.operators import passages, sampling, similarity
 from millrace.plans.registry import register
 from millrace.plans.tables import table
 from millrace.session import let
@@ -92,15 +92,21 @@ def q_repetition_metrics(spark, sf_dir):
 _FP = "sha256(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
 
 
+_PRINTS = "SELECT doc_id, source, unnest([{'kind': 'full_sequence', 'h': " + _FP.format(t="text") + "}, {'kind': 'prompt_prefix', 'h': " + _FP.format(t="split_part(text, chr(10), 1)") + "}], recursive := true) FROM documents"
+
+
 @register(
     "q_contam_exact",
-    f"""SELECT b.item_id, d.doc_id, k.kind FROM (SELECT item_id, {_FP.format(t='text')} AS h, {_FP.format(t='substr(text, 1, 64)')} AS p FROM benchmark) b
-    JOIN (SELECT 'full_sequence' AS kind UNION ALL SELECT 'prompt_prefix') k ON true JOIN (SELECT doc_id, {_FP.format(t='text')} AS h, {_FP.format(t='substr(text, 1, 64)')} AS p FROM documents) d ON CASE WHEN k.kind = 'full_sequence' THEN b.h = d.h ELSE b.p = d.p END""",
+    f"""WITH p AS ({_PRINTS}), d AS (SELECT kind, h, count(*) AS n_docs, min(doc_id) AS first_doc FROM p WHERE source <> 'src0' GROUP BY 1, 2) SELECT doc_id AS item_id, kind, n_docs, first_doc FROM p JOIN d USING (kind, h) WHERE source = 'src0'""",
 )
 def q_contam_exact(spark, sf_dir):
+    """Items (one source's documents) whose whole text, or whose prompt (the first line), a document of another source has: with the number of such, never as pairs."""
     fp = lambda t: F.sha2(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), 256)
-    both = lambda rows, i: rows.select(i, F.inline(F.array(F.struct(F.lit("full_sequence").alias("kind"), fp(F.col("text")).alias("h")), F.struct(F.lit("prompt_prefix").alias("kind"), fp(F.substring("text", 1, 64)).alias("h")))))
-    return both(table(spark, sf_dir, "documents"), "doc_id").join(both(table(spark, sf_dir, "benchmark"), "item_id"), ["kind", "h"]).select("item_id", "doc_id", "kind")
+    prompt = F.split_part("text", F.lit("\n"), F.lit(1))
+    prints = F.array(F.struct(F.lit("full_sequence").alias("kind"), fp(F.col("text")).alias("h")), F.struct(F.lit("prompt_prefix").alias("kind"), fp(prompt).alias("h")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.inline(prints))
+    docs = rows.where("source <> 'src0'").groupBy("kind", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return rows.where("source = 'src0'").join(docs, ["kind", "h"]).select(F.col("doc_id").alias("item_id"), "kind", "n_docs", "first_doc")
 
 
 @register(
@@ -110,14 +116,7 @@ def q_contam_exact(spark, sf_dir):
     SELECT g.item_id, h.doc_id, count(*) AS n_shared FROM g JOIN h USING (s) GROUP BY 1, 2""",
 )
 def q_contam_passages(spark, sf_dir):
-    def grams(rows, i):
-        words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-        at = let(words, lambda w: F.when(F.size(w) >= 13, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 13), lambda k: F.xxhash64(F.array_join(F.slice(w, k + 1, 13), " "))))).otherwise(F.array().cast("array<long>")))
-        return rows.select(i, at.alias("g"))
-
-    items = grams(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.explode("g").alias("s")).distinct()
-    docs = grams(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.explode("g").alias("s"))
-    return docs.join(items, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
+    return passages.shared_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @register("q_topk_quota", "SELECT lang, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rn FROM documents WHERE n_chars <= 2000) WHERE rn <= CASE lang WHEN 'en' THEN 5 ELSE 3 END")

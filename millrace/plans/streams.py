@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_bucket, split_of
-from millrace.plans.registry import register
+from millrace.plans import events  # noqa: F401  (registers what its SQL is taken from)
+from millrace.plans.registry import ORACLES, register
 from millrace.plans.tables import table
 from millrace.session import shared_dir
 from millrace.sources import files
@@ -55,7 +56,7 @@ def q_stream_sessions(spark, sf_dir):
     return windows.finish(windows.sessions(windows.read_events(spark, f"{sf_dir}/events.parquet"), "30 minutes", "user_id"), "complete", "sessions")
 
 
-@register("q_stream_rate_limit")
+@register("q_stream_rate_limit", ORACLES["q_rate_limit"])
 def q_stream_rate_limit(spark, sf_dir):
     return windows.finish(windows.rate_limited(windows.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", "event_id", 2, 3600), "append", "limited")
 

@@ -431,3 +431,19 @@ def test_tokenize_refuses_a_crossing_token(spark):
         tokens.tokenize(crossing, "t", "s", tokens.words, 5).collect()
     with pytest.raises(ValueError):
         sampling.exact_budget(rows.selectExpr("i", "1 n"), "i", ["n"], "n", rows.selectExpr("i", "7 target"), cap=3)
+
+
+@pytest.mark.parametrize("most_known", [0, 1 << 20])
+def test_shared_passages_equal_brute_force(spark, most_known):
+    from millrace.operators import passages
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(12)]
+    docs = [" ".join(rng.choice(words) for _ in range(20)) + " " + rng.choice(items)[: rng.randint(0, 200)].upper() + "! " + rng.choice(items) for _ in range(40)] + ["", None]
+    wanted = {(i, d): n for i, a in enumerate(items) for d, b in enumerate(docs) if (n := len(set(passages.grams(a, 5)) & set(passages.grams(b, 5))))}
+    a = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {(r["item_id"], r["doc_id"]): r["n_shared"] for r in passages.shared_passages(b, a, "doc_id", "item_id", n=5, most_known=most_known).collect()}
+    assert got == wanted and len(wanted) > 20
+    assert passages.shared_passages(b, a.limit(0), "doc_id", "item_id").count() == passages.shared_passages(b.limit(0), a, "doc_id", "item_id").count() == 0
