@@ -10,9 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def percentile_linear(x: str, p: float) -> Column:
-    """A: linear interpolation."""
-    return F.percentile(x, F.lit(p))
+def quantiles(rows: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """A: for each key, values of ``x`` at the given shares, interpolated between the two nearest; 0.5 is the median.
+
+    Exact, and by counts of distinct values as in ``by_index``: no group's values are held.
+    """
+    picks = {}
+    for name, p in shares.items():
+        picks |= {f"{name}_low": lambda n, p=p: F.floor((n - 1) * p), f"{name}_high": lambda n, p=p: F.ceil((n - 1) * p)}
+    found = by_index(rows, keys, x, picks, "n_values")
+    between = lambda name, p: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * ((F.col("n_values") - 1) * p - F.floor((F.col("n_values") - 1) * p))
+    return found.select(*keys, *[between(name, p).alias(name) for name, p in shares.items()])
 
 
 def percentile_floor(p: float):
@@ -35,8 +43,8 @@ def percentile_even(p: float):
     return lambda n: F.bround((n - 1) * p)
 
 
-def by_index(rows: DataFrame, keys: list[str], x: str, indexes: dict[str, object]) -> DataFrame:
-    """For each key, the values of ``x`` at indexes that depend on the number of values.
+def by_index(rows: DataFrame, keys: list[str], x: str, indexes: dict[str, object], count: str | None = None) -> DataFrame:
+    """For each key, the values of ``x`` at indexes that depend on the number of values, and that number as ``count``.
 
     Counts per (key, value) are combined first; positions are running sums over distinct
     values, dealt by range, so neither a list of a key's values is built nor are its
@@ -48,7 +56,8 @@ def by_index(rows: DataFrame, keys: list[str], x: str, indexes: dict[str, object
     whole = counted.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.sum("c").alias("n"))
     placed = running(counted, keys, [x], "c").join(whole, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]))
     here = lambda f: (F.col("cum") > f(F.col("n"))) & (F.col("cum") - F.col("c") <= f(F.col("n")))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(here(f), F.col(x))).alias(name) for name, f in indexes.items()])
+    number = [F.max("n").alias(count)] if count else []
+    return placed.groupBy(*keys).agg(*[F.max(F.when(here(f), F.col(x))).alias(name) for name, f in indexes.items()], *number)
 
 
 def warmup_cosine(step: Column, max_steps: int, warmup: int) -> Column:

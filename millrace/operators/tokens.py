@@ -107,5 +107,6 @@ def verify_mixture(rows: DataFrame, declared: DataFrame, strata: list[str], leng
 def dataset_manifest(rows: DataFrame, by: list[str], tokens: str) -> DataFrame:
     """``*by, level, n, tokens, share_bp``: samples and tokens by each column and in all, shares rounded down; one pass."""
     sets = rows.groupingSets([[c] for c in by] + [[]], *by).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
-    whole = rows.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("whole"))
-    return sets.join(F.broadcast(whole)).select(*by, "level", "n", "tokens", F.expr("CASE WHEN whole = 0 THEN 0 ELSE (tokens * 10000) div whole END").alias("share_bp"))
+    whole = rows.agg(F.sum(tokens)).first()[0] or 0  # one number
+    share = F.expr(f"(tokens * 10000) div {whole}") if whole else F.lit(0).cast("long")
+    return sets.select(*by, "level", "n", "tokens", share.alias("share_bp"))

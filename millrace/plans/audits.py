@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import records as R
@@ -142,8 +143,7 @@ def q_agent_gate(spark, sf_dir):
     v, x = F.col("value"), F.col("limit_")
     ok = F.when(F.col("kind") == "gte", v >= x).when(F.col("kind") == "gt", v > x).when(F.col("kind") == "lte", v <= x).when(F.col("kind") == "lt", v < x).otherwise(v == x)
     checked = limits.join(long, "metric", "left").withColumn("passed", F.coalesce(ok, F.lit(False)))
-    every = checked.agg(F.every("passed").alias("all_passed"))
-    return checked.join(F.broadcast(every)).select("metric", "kind", "limit_", "value", "passed", "all_passed")
+    return checked.select("metric", "kind", "limit_", "value", "passed", F.every("passed").over(Window.partitionBy()).alias("all_passed"))  # a row per check
 
 
 _SAID = "replace(replace(text, ', ', CASE WHEN turn % 3 = 0 THEN ', ' ELSE '<think>' END), '. ', CASE WHEN turn % 2 = 0 THEN '</think>  ' ELSE '. ' END)"

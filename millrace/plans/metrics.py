@@ -23,14 +23,15 @@ _IDX = "list_sort(list(value))[({i} + 1)::INT]"
 def q_percentiles(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "value")
     picks = {"b": stats.percentile_floor(0.95), "c": stats.percentile_nearest(0.95), "d": stats.percentile_clamped(0.975), "e": stats.percentile_even(0.975), "f": stats.percentile_nearest(0.9)}
-    smooth = events.groupBy("event_type").agg(stats.percentile_linear("value", 0.95).alias("a"), F.percentile("value", F.lit(0.5)).alias("med"))
+    smooth = stats.quantiles(events, ["event_type"], "value", {"a": 0.95, "med": 0.5})
     return stats.by_index(events, ["event_type"], "value", picks).join(smooth, "event_type").select("event_type", "a", "b", "c", "d", "e", "f", "med")
 
 
 @register("q_timing_summary", "SELECT event_type, count(*) AS n, sum(round(v * 100)::BIGINT)::BIGINT AS total_cents, min(v) AS least, median(v) AS med, max(v) AS most FROM (SELECT event_type, value AS v FROM events WHERE value > 0 AND isfinite(value)) GROUP BY event_type")
 def q_timing_summary(spark, sf_dir):
     v = table(spark, sf_dir, "events").where("value > 0 AND NOT isnan(value) AND abs(value) < double('Infinity')").select("event_type", F.col("value").alias("v"))
-    return v.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("v") * 100).cast("long")).alias("total_cents"), F.min("v").alias("least"), F.percentile("v", F.lit(0.5)).alias("med"), F.max("v").alias("most"))
+    figures = v.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("v") * 100).cast("long")).alias("total_cents"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return figures.join(stats.quantiles(v, ["event_type"], "v", {"med": 0.5}), "event_type")
 
 
 @register(
@@ -56,7 +57,9 @@ def q_macro_average(spark, sf_dir):
     SELECT c.event_type, world, n, med, least, most, round_even(med * 10000 / base, 0)::BIGINT AS efficiency_bp FROM c JOIN b USING (event_type)""",
 )
 def q_scaling_matrix(spark, sf_dir):
-    cells = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).alias("world")).agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("med"), F.min("value").alias("least"), F.max("value").alias("most")).where("n >= 3")
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 4).alias("world"), "value")
+    cells = rows.groupBy("event_type", "world").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")).where("n >= 3")
+    cells = cells.join(stats.quantiles(rows, ["event_type", "world"], "value", {"med": 0.5}), ["event_type", "world"])
     base = F.first(F.when(F.col("world") == 0, F.col("med")), ignorenulls=True).over(Window.partitionBy("event_type"))
     return cells.withColumn("efficiency_bp", F.bround(F.col("med") * 10_000 / base).cast("long")).where("efficiency_bp is not null")
 
@@ -67,10 +70,13 @@ def q_scaling_matrix(spark, sf_dir):
     round_even(median(value) FILTER (event_type = 'click') * 10000 / median(value) FILTER (event_type = 'view'), 0)::BIGINT AS ratio_bp FROM events GROUP BY 1""",
 )
 def q_latency_cells(spark, sf_dir):
-    of = lambda k, c: F.when(F.col("event_type") == k, c)
-    med = lambda k: F.percentile(of(k, F.col("value")), F.lit(0.5))
-    rows = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(of("click", F.lit(1))).alias("clicks"), F.count(of("view", F.lit(1))).alias("views"), med("click").alias("click_med"), med("view").alias("view_med"))
-    return rows.withColumn("ratio_bp", F.bround(F.col("click_med") * 10_000 / F.col("view_med")).cast("long"))
+    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value")
+    of = lambda k: F.count_if(F.col("event_type") == k)
+    counts = rows.groupBy("day").agg(of("click").alias("clicks"), of("view").alias("views"))
+    middle = stats.quantiles(rows.where("event_type in ('click', 'view')"), ["day", "event_type"], "value", {"med": 0.5})
+    med = lambda k: F.max(F.when(F.col("event_type") == k, F.col("med"))).alias(f"{k}_med")
+    both = counts.join(middle.groupBy("day").agg(med("click"), med("view")), "day", "left")
+    return both.withColumn("ratio_bp", F.bround(F.col("click_med") * 10_000 / F.col("view_med")).cast("long"))
 
 
 @register(
