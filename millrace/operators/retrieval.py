@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 QUERY_WORD = r"[^\W_][\w.-]{1,63}"
 K1, B = 1.2, 0.75
 
@@ -33,10 +35,11 @@ def bm25(docs: DataFrame, row_id: str, text: str, terms: list[str], limit: int =
     Only counts of the query's terms leave a row, never its words; corpus figures are one
     aggregate row, the only thing that the driver gets.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
-    counts = F.array(*map(count, terms))
-    rows = docs.select(row_id, words.alias("w")).select(row_id, F.size("w").alias("len"), counts.alias("tf"))
+    # A term is a whole run of letters and digits: counted where it stands, so no list of words is built.
+    low = F.lower(text)
+    count = lambda t: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"))
+    rows = docs.select(row_id, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("len"), F.array(*map(count, terms)).alias("tf"))
+    rows = materialize(rows, "terms")  # texts are read once
     figures = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     both = rows.where(F.exists("tf", lambda c: c > 0))
     score = F.lit(0.0)

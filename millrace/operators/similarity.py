@@ -30,26 +30,33 @@ def permutations(n: int = PERMUTATIONS, seed: str = "minhash") -> list[tuple[int
     return [(int(a) | 1, int(b)) for a, b in stream.reshape(n, 2) % np.uint64(PRIME)]
 
 
+_P, _61 = np.uint64(PRIME), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1: the high bits are added to the low ones; of what is left and that less the prime, the lesser is right, as a negative number wraps."""
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)
+
+
 def _mulmod(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """a * b modulo 2**61 - 1 in 64-bit words: halves, then folding."""
+    """a * b modulo 2**61 - 1 of numbers below it, in 64-bit words: halves, then folding."""
     b = np.asarray(b, dtype=np.uint64)
     half, low = np.uint64(31), np.uint64(0x7FFFFFFF)
     lo, hi, bl, bh = a & low, a >> half, b & low, b >> half
     mid = lo * bh + hi * bl  # below 2**62
-    out = hi * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)
-    out = (out & np.uint64(PRIME)) + (out >> np.uint64(61))
+    out = (hi * bh << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)  # below 2**63
     x = lo * bl
-    out = out + (x & np.uint64(PRIME)) + (x >> np.uint64(61))
-    return out % np.uint64(PRIME)
+    return _reduced((out & _P) + (out >> _61) + (x & _P) + (x >> _61))
 
 
 def signature(hashes: np.ndarray, perms: list[tuple[int, int]]) -> np.ndarray:
     """Minimum of ``(a * h + b) mod p`` over the hashes, for each permutation."""
     a, b = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*perms, strict=True))
     least = np.full(len(perms), PRIME, np.uint64)
-    for i in range(0, len(hashes), 1024):  # all permutations of some hashes at a time
-        part = hashes[None, i : i + 1024] % np.uint64(PRIME)
-        least = np.minimum(least, ((_mulmod(part, a) + b) % np.uint64(PRIME)).min(1))
+    for i in range(0, len(hashes), 256):  # all permutations of some hashes at a time, within a processor's cache
+        out = _mulmod(_reduced(hashes[None, i : i + 256]), a) + b
+        least = np.minimum(least, np.minimum(out, out - _P).min(1))
     return least
 
 
