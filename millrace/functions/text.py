@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -96,3 +96,13 @@ def repetition(text: Column) -> Column:
     runs = let(F.array_sort(lines), lambda s: F.aggregate(s, F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(1).alias("m")), lambda a, x: let(F.when(a["last"] == x, a["n"] + 1).otherwise(1), lambda n: F.struct(x.alias("last"), n.alias("n"), F.greatest(a["m"], n).alias("m"))), lambda a: a["m"]))
     repeated = lambda w: F.when(w["g"]["n"] == 0, 0).otherwise(even_bp(w["g"]["n"] - w["g"]["u"], w["g"]["n"])).cast("long")
     return let(by_word, lambda w: F.struct(w["n"].alias("tokens"), even_bp(w["u"], w["n"]).alias("unique_bp"), repeated(w).alias("repeated_bp"), runs.cast("long").alias("max_line_repeat")))
+
+
+def sample_reasons(messages: DataFrame, sample: str, index: str, text: str, most_message: int = 131_072, most_sample: int = 262_144) -> DataFrame:
+    """``sample, reason, message_index, n_chars`` over normalised messages: the first that is empty, has a control character or is too long; else whether all of them are."""
+    t = F.col(text)
+    reason = F.when(F.coalesce(t, F.lit("")) == "", "empty_after_normalization").when(t.rlike(FORBIDDEN), "forbidden_control_character").when(F.length(t) > most_message, "message_too_long")
+    first = F.min(F.when(reason.isNotNull(), F.struct(F.col(index).alias("i"), reason.alias("r")))).alias("first")
+    found = messages.groupBy(sample).agg(first, F.sum(F.length(t)).alias("n"))
+    why = F.coalesce("first.r", F.when(F.col("n") > most_sample, "sample_too_long"))
+    return found.select(sample, why.alias("reason"), F.col("first.i").alias("message_index"), F.when(why.isNull(), F.col("n")).alias("n_chars"))

@@ -16,6 +16,12 @@ FAMILIES = {"single_tool": 12, "no_tool": 6, "wrong_tool_irrelevance": 6, "missi
 REASONING = ("python", "json", "linux", "config", "log_diagnosis")
 LABELS = {"config": ("forbidden_truncation", "missing_checkpoint", "unsupported_precision", "world_size_mismatch"), "log_diagnosis": ("collective_timeout", "cuda_oom", "disk_full", "non_finite_gradient")}
 
+#: Items and English ones per category of the domain set, and tasks per category of the repair set.
+DOMAIN = {"config": (40, 28), "json": (40, 28), "linux": (45, 32), "logs": (45, 31), "python": (50, 35), "refusal": (40, 28), "short_code": (40, 28)}
+REPAIR = {"refusal": 300, "python": 120, "json": 80, "linux": 60, "log": 60, "short_code": 60}
+#: Offsets that keep the values of the generalisation batches apart.
+OFFSETS = (401, 449, 497)
+
 
 def interleaved(nth: Column, part: int, whole: int) -> Column:
     """``zh`` for exactly ``part`` of every ``whole``, evenly; ``nth`` counts from 1."""
@@ -50,3 +56,20 @@ def by_family(spark: SparkSession, families: tuple[str, ...], each: int, en: int
     rows = rows.withColumn("labels", labels)
     label = F.when(F.size("labels") > 0, F.try_element_at("labels", (F.col("nth") % F.greatest(F.size("labels"), F.lit(1)) + 1).cast("int")))
     return rows.select("family", "nth", F.when(F.col("nth") < en, "en").otherwise("zh").alias("lang"), label.alias("label"), F.when(F.size("labels") > 0, F.floor(F.col("nth") / F.size("labels"))).alias("variant"), reference.alias("reference"))
+
+
+def domain_set(spark: SparkSession, offsets: tuple[int, ...] = (0,)) -> DataFrame:
+    """``batch, offset, category, nth, lang`` of the domain set, once per offset; a category's English items come first."""
+    totals, english = ({c: pair[i] for c, pair in DOMAIN.items()} for i in (0, 1))
+    rows = by_category(spark, totals, 0).select("category", (F.col("nth_of_category") - 1).alias("nth"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in english.items() for x in pair]), F.col("category"))
+    batches = F.array(*[F.struct(F.lit(i + 1).alias("batch"), F.lit(o).alias("offset")) for i, o in enumerate(offsets)])
+    return rows.select(F.inline(batches), "category", "nth", F.when(F.col("nth") < limit, "en").otherwise("zh").alias("lang"))
+
+
+def synthetic_generations(tasks: DataFrame, nth: str, answer: str, candidates: int, seed: int) -> DataFrame:
+    """``nth, candidate, seed, raw_output`` for every task: its answer after a think block; every fifth task's first candidate has none."""
+    rows = tasks.select(nth, answer, F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("candidate"))
+    bad = (F.col("candidate") == 0) & (F.col(nth) % 5 == 0)
+    output = F.when(bad, "<think>rejected path</think>\n\nnot-json").otherwise(F.concat(F.lit("<think>fixed reasoning, no model's output</think>\n\n"), answer))
+    return rows.select(nth, "candidate", ((F.lit(seed).cast("long") + F.col(nth) * 2 + F.col("candidate")) % (1 << 32)).alias("seed"), output.alias("raw_output"))

@@ -257,3 +257,31 @@ def _family_set(name):
 
 for _name in _FAMILY_SETS:
     _family_set(_name)
+
+
+def _domain_sql(offsets):
+    parts = [f"SELECT {i + 1} AS batch, {o} AS \"offset\", '{c}' AS category, nth, CASE WHEN nth < {en} THEN 'en' ELSE 'zh' END AS lang FROM (SELECT unnest(range(0, {n})) AS nth)" for i, o in enumerate(offsets) for c, (n, en) in generators.DOMAIN.items()]
+    return " UNION ALL ".join(parts)
+
+
+@register("q_domain_set", _domain_sql((0,)))
+def q_domain_set(spark, sf_dir):
+    return generators.domain_set(spark)
+
+
+@register("q_generalization_set", _domain_sql(generators.OFFSETS))
+def q_generalization_set(spark, sf_dir):
+    return generators.domain_set(spark, generators.OFFSETS)
+
+
+@register("q_repair_set", _set_sql(generators.REPAIR, 204))
+def q_repair_set(spark, sf_dir):
+    return generators.by_category(spark, generators.REPAIR, 204)
+
+
+@register(
+    "q_synthetic_generations",
+    """SELECT event_id, c::INT AS candidate, (4294967290 + event_id * 2 + c) % 4294967296 AS seed, CASE WHEN c = 0 AND event_id % 5 = 0 THEN '<think>rejected path</think>' || chr(10) || chr(10) || 'not-json' ELSE '<think>fixed reasoning, no model''s output</think>' || chr(10) || chr(10) || props END AS raw_output FROM events, (SELECT unnest([0, 1]) AS c)""",
+)
+def q_synthetic_generations(spark, sf_dir):
+    return generators.synthetic_generations(table(spark, sf_dir, "events"), "event_id", "props", 2, 4_294_967_290)

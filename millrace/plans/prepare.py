@@ -157,3 +157,20 @@ def q_components_split(spark, sf_dir):
     keys = F.explode(F.array(F.concat(F.lit("c:"), F.sha2("text", 256)), F.concat(F.lit("l:"), F.split_part("text", F.lit("\n"), F.lit(1)))))
     rows = table(spark, sf_dir, "documents").select("doc_id", keys.alias("key"))
     return dedup.safe_split(dedup.group_components(rows, "doc_id", "key"), "doc_id")
+
+
+_NORM_TURN = _NORM.replace("nfc_normalize(text)", "nfc_normalize(said)")
+_SAID = "CASE WHEN conv_id % 9 = 2 AND turn = 1 THEN chr(10) || ' ' WHEN conv_id % 9 = 4 AND turn = 2 THEN text || chr(7) || 'x' ELSE text END"
+
+
+@register(
+    "q_normalize_sample",
+    f"""WITH t AS (SELECT conv_id, turn, {_NORM_TURN} AS t FROM (SELECT conv_id, turn, {_SAID} AS said FROM conversations)), r AS (SELECT *, CASE WHEN t = '' THEN 'empty_after_normalization' WHEN regexp_matches(t, '[\x00-\x08\x0B-\x1F\x7F-\x9F]') THEN 'forbidden_control_character' WHEN len(t) > 500 THEN 'message_too_long' END AS reason FROM t),
+    s AS (SELECT conv_id, min(turn) FILTER (reason IS NOT NULL) AS message_index, sum(len(t)) AS n FROM r GROUP BY conv_id) SELECT s.conv_id, coalesce(r.reason, CASE WHEN n > 1200 THEN 'sample_too_long' END) AS reason, message_index, CASE WHEN r.reason IS NULL AND n <= 1200 THEN n END::BIGINT AS n_chars FROM s LEFT JOIN r ON r.conv_id = s.conv_id AND r.turn = s.message_index""",
+)
+def q_normalize_sample(spark, sf_dir):
+    """The first message of a sample that fails, with its place; then the sample's length."""
+    k, turn = F.col("conv_id"), F.col("turn")
+    said = F.when((k % 9 == 2) & (turn == 1), "\n ").when((k % 9 == 4) & (turn == 2), F.concat("text", F.lit("\x07x"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normalise(said).alias("t"))
+    return X.sample_reasons(rows, "conv_id", "turn", "t", 500, 1200)

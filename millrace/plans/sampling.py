@@ -159,6 +159,19 @@ def q_balance(spark, sf_dir):
     return out.withColumn("within_tolerance", F.abs(F.col("n_chars") - F.col("target")) * 10_000 <= 300 * F.col("target"))
 
 
+@register(
+    "q_balance_rejects",
+    f"""WITH o AS ({_ORDERED}), t AS ({_TARGETS}), c AS (SELECT o.*, t.target, sum(n_chars) OVER (PARTITION BY source ORDER BY k, doc_id) AS cum FROM o JOIN t USING (source)),
+    e AS (SELECT source, min(struct_pack(d := abs(cum - target), c := cum)).c AS e FROM c WHERE cum - n_chars < target GROUP BY source) SELECT doc_id, source, 'balance_downsampled' AS reason FROM c JOIN e USING (source) WHERE NOT (cum <= e.e AND cum - n_chars < target)""",
+)
+def q_balance_rejects(spark, sf_dir):
+    """What balancing leaves out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", sampling.hash_order("balance-1", F.col("doc_id")).alias("k"))
+    targets = docs.groupBy("source").agg(F.expr("(sum(n_chars) * 3) div 5").alias("target"))
+    kept = sampling.closest_prefix(docs, "source", ["k", "doc_id"], "n_chars", targets).select("doc_id")
+    return docs.where("source is not null").join(kept, "doc_id", "left_anti").select("doc_id", "source", F.lit("balance_downsampled").alias("reason"))
+
+
 @register(
     "q_exact_budget",
     f"""WITH o AS ({_ORDERED}), t AS (SELECT source, (total * 7) // 4 AS target, total FROM ({_TARGETS})), c AS (SELECT o.*, t.target, t.total, sum(n_chars) OVER (PARTITION BY source ORDER BY k, doc_id) AS cum FROM o JOIN t USING (source))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_bucket, split_of
-from millrace.plans import events  # noqa: F401  (registers what its SQL is taken from)
+from millrace.plans import events, records  # noqa: F401  (register what its SQL is taken from)
 from millrace.plans.registry import ORACLES, register
 from millrace.plans.tables import table
 from millrace.session import shared_dir
@@ -35,6 +35,25 @@ def q_registered_dataset(spark, sf_dir):
     return files.open_registered(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
+@register("q_sharded_sink", f"SELECT lang, bin::BIGINT AS shard, n, n_chars FROM ({ORACLES['q_shard_split']})")
+def q_sharded_sink(spark, sf_dir):
+    """Shards of 200 000 characters, written by language and read back."""
+    path = _path(spark, "shards")
+    files.write_shards(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), path, "lang", ["doc_id"], "n_chars", 200_000)
+    back = spark.read.schema("doc_id long, n_chars long, lang string, shard long").parquet(path)
+    return back.groupBy("lang", "shard").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@register("q_versioned_index", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def q_versioned_index(spark, sf_dir):
+    """A table is published, replaced, and rolled back to what it was."""
+    path, docs = _path(spark, "index"), table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    files.publish(docs, path)
+    files.publish(docs.where("lang = 'en'"), path)
+    files.rollback(spark, path)
+    return files.current(spark, path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 _CENTS = "sum(round(value * 100)::BIGINT)::BIGINT AS cents"
 
 

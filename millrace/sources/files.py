@@ -193,3 +193,61 @@ def acquire(spark: SparkSession, origin: str, cache: str, name: str, size: int,
                 fs.delete(staging, False)
     check(target.toString())
     return target.toString()
+
+
+def write_shards(rows: DataFrame, path: str, split: str, order: list[str], size: str, limit: int) -> None:
+    """A folder per split and shard: rows in order, a new shard where the next row would pass ``limit``."""
+    from millrace.operators.sampling import next_fit
+
+    next_fit(rows, split, order, size, limit).withColumnRenamed("bin", "shard").write.partitionBy(split, "shard").parquet(path)
+
+
+def publish(rows: DataFrame, root: str) -> str:
+    """Writes a version of a table, named by its content, and makes it the current one; returns its name."""
+    spark, version = rows.sparkSession, content_digest(rows)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, staging = fs_path(f"{root}/versions/{version}"), fs_path(f"{root}/staging-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        rows.write.parquet(staging.toString())
+        fs.mkdirs(target.getParent())
+        if not fs.rename(staging, target) and not fs.exists(target):
+            raise SourceError("the version can't be moved into place")
+    point(spark, root, version)
+    return version
+
+
+def pointers(spark: SparkSession, root: str) -> list[str]:
+    """Versions that were current, oldest first: one short file each."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    return [n.split("-", 1)[1] for n in names]
+
+
+def point(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a version current. Pointers are numbered and never overwritten."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path(f"{root}/versions/{version}")):
+        raise SourceError("there is no such version")
+    number = len(pointers(spark, root))
+    fs.create(fs_path(f"{root}/pointers/{number:010d}-{version}"), False).close()
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The current version of a published table."""
+    versions = pointers(spark, root)
+    if not versions:
+        raise SourceError("nothing is published there")
+    return spark.read.parquet(f"{root}/versions/{versions[-1]}")
+
+
+def rollback(spark: SparkSession, root: str) -> str:
+    """Makes the version before the current one current again."""
+    versions = pointers(spark, root)
+    before = [v for v in versions if v != versions[-1]]
+    if not before:
+        raise SourceError("there is no earlier version")
+    point(spark, root, before[-1])
+    return before[-1]

@@ -447,3 +447,18 @@ def test_shared_passages_equal_brute_force(spark, most_known):
     got = {(r["item_id"], r["doc_id"]): r["n_shared"] for r in passages.shared_passages(b, a, "doc_id", "item_id", n=5, most_known=most_known).collect()}
     assert got == wanted and len(wanted) > 20
     assert passages.shared_passages(b, a.limit(0), "doc_id", "item_id").count() == passages.shared_passages(b.limit(0), a, "doc_id", "item_id").count() == 0
+
+
+def test_published_versions(spark, tmp_path):
+    root, rows = str(tmp_path / "table"), spark.createDataFrame([(1, "a"), (2, "b")], "i long, t string")
+    with pytest.raises(files.SourceError):
+        files.current(spark, root)
+    one = files.publish(rows, root)
+    with pytest.raises(files.SourceError):
+        files.rollback(spark, root)
+    two = files.publish(rows.limit(1), root)
+    assert one != two and files.current(spark, root).count() == 1
+    assert files.rollback(spark, root) == one and files.current(spark, root).count() == 2
+    assert files.publish(rows.orderBy("t"), root) == one and files.pointers(spark, root) == [one, two, one, one]
+    with pytest.raises(files.SourceError):
+        files.point(spark, root, "none")
