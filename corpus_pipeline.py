@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, near, quality, secret_scan
-from millrace.session import discard, materialize
+from millrace.session import discard, materialize, spread
 
 #: No SQL: components of a near-duplicate graph, entropy windows and BPE are beyond it.
 ORACLE_SQL = None
@@ -62,7 +62,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
         discard(before)

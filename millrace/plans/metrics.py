@@ -10,7 +10,7 @@ from millrace.functions.text import even_bp
 from millrace.operators import retrieval
 from millrace.plans.registry import register
 from millrace.plans.tables import table
-from millrace.session import let
+from millrace.session import let, spread
 
 _IDX = "list_sort(list(value))[({i} + 1)::INT]"
 
@@ -233,7 +233,7 @@ _TERMS = ["license", "the", "general", "public"]
     SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 9) AS score FROM c JOIN x USING (t), f GROUP BY doc_id HAVING sum(tf) > 0 ORDER BY 2 DESC, 1 LIMIT 20""",
 )
 def q_bm25(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", retrieval.query_terms("license THE general, public the"), 20).select("doc_id", F.round("score", 9).alias("score"))
+    return retrieval.bm25(spread(table(spark, sf_dir, "documents")), "doc_id", "text", retrieval.query_terms("license THE general, public the"), 20).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @register("q_runs_list", "SELECT event_id, user_id, event_type, epoch_us(ts) AS at_us FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -9,7 +9,7 @@ from millrace.functions import text as X
 from millrace.operators import passages, sampling, similarity
 from millrace.plans.registry import register
 from millrace.plans.tables import table
-from millrace.session import let
+from millrace.session import let, spread
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_.:/-]+|[\\x{4e00}-\\x{9fff}]')"
 _SHINGLES = f"""t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
@@ -33,7 +33,7 @@ def q_shingles(spark, sf_dir):
     SELECT c.doc_id, c.node, coalesce(m.component, c.node) AS component FROM c LEFT JOIN m USING (node)""",
 )
 def q_near_duplicates(spark, sf_dir):
-    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+    return similarity.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 _LIKE = f"""{_SHINGLES}, d AS (SELECT DISTINCT doc_id, s FROM sh), z AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
@@ -47,7 +47,7 @@ _LIKE = f"""{_SHINGLES}, d AS (SELECT DISTINCT doc_id, s FROM sh), z AS (SELECT
     SELECT 'equal' AS kind, count(*) FILTER (same AND inner_) AS within, count(*) FILTER (same AND NOT inner_) AS across, CASE WHEN count(*) FILTER (same) > 0 THEN 10000 ELSE 0 END AS max_bp FROM p UNION ALL SELECT 'near', count(*) FILTER (NOT same AND inner_), count(*) FILTER (NOT same AND NOT inner_), coalesce(round_even(max(j) FILTER (NOT same) * 10000, 0), 0)::INT FROM p""",
 )
 def q_duplicate_report(spark, sf_dir):
-    return similarity.duplicate_report(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return similarity.duplicate_report(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "source")
 
 
 _HEAD = _SHINGLES.replace("t AS (", "ht AS (", 1).replace(" sh AS (", " hs AS (").replace("FROM t WHERE", "FROM ht WHERE").replace("FROM documents", "FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)")
@@ -61,7 +61,7 @@ _HEAD = _SHINGLES.replace("t AS (", "ht AS (", 1).replace(" sh AS (", " hs AS ("
     SELECT DISTINCT d.doc_id, d.source FROM p JOIN documents d ON d.doc_id = x JOIN documents e ON e.doc_id = y WHERE e.source < d.source""",
 )
 def q_cross_source_near(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
     return similarity.cross_source_losers(docs, "doc_id", "text", "head", "source")
 
 
@@ -72,7 +72,7 @@ def q_cross_source_near(spark, sf_dir):
 )
 def q_contam_near(spark, sf_dir):
     """A fifth of the documents stands for evaluation sets, one per language; the query set is no cut of the rest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     return similarity.contamination(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0 and lang is not null"), "doc_id", "text", "lang")
 
 
@@ -85,7 +85,7 @@ def q_contam_near(spark, sf_dir):
     SELECT u.doc_id, n_words, unique_bp, CASE WHEN g.n IS NULL THEN 0 ELSE round_even((g.n - g.u) * 10000 / g.n, 0) END::BIGINT AS repeated_bp, coalesce(l.m, 1)::BIGINT AS max_line_repeat FROM u LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)""",
 )
 def q_repetition_metrics(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(X.repetition(F.col("text")))))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(F.array(X.repetition(F.col("text")))))
     return rows.withColumnRenamed("tokens", "n_words")
 
 
@@ -116,7 +116,7 @@ def q_contam_exact(spark, sf_dir):
     SELECT g.item_id, h.doc_id, count(*) AS n_shared FROM g JOIN h USING (s) GROUP BY 1, 2""",
 )
 def q_contam_passages(spark, sf_dir):
-    return passages.shared_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return passages.shared_passages(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @register("q_topk_quota", "SELECT lang, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rn FROM documents WHERE n_chars <= 2000) WHERE rn <= CASE lang WHEN 'en' THEN 5 ELSE 3 END")

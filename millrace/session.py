@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["BATCH_BYTES", "bound_batches", "clean_up", "discard", "fresh", "let", "local_session", "materialize", "shared_dir"]
+__all__ = ["BATCH_BYTES", "bound_batches", "clean_up", "discard", "fresh", "let", "local_session", "materialize", "shared_dir", "spread"]
 
 #: Bytes that an Arrow batch carries to Python, so that memory doesn't follow the number of long texts.
 BATCH_BYTES = 4 << 20
@@ -83,6 +83,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that lies in fewer files than there are cores, dealt to all of them; any other comes back as it is.
+
+    For work that is dear per row: a file of one row group is one task's work, however
+    many cores wait. What is dealt is smaller than that work, and with as many files as
+    cores nothing is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names like ``names`` that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
