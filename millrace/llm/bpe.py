@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, map_batches
+from millrace.session import spread
 
 #: Strings up to this many bytes are merged side by side, longer ones alone.
 SIDE_BY_SIDE = 64
@@ -243,4 +244,4 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
-    return tokenize(documents(spark, sf_dir))
+    return tokenize(spread(documents(spark, sf_dir)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import gru
 from millrace.llm.common import bounded, documents, fold, kind, map_batches, sampled
+from millrace.session import spread
 
 FOLDS, HELD_OUT = 4, 2
 HIDDEN = 12
@@ -189,4 +190,4 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those outside the held-out fold."""
     docs = documents(spark, sf_dir)
-    return identify(docs, learn(docs))
+    return identify(spread(docs), learn(docs))

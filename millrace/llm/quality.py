@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import SPACE, WORD, documents
-from millrace.session import let
+from millrace.session import let, spread
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -120,7 +120,7 @@ def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    judged = judge(documents(spark, sf_dir).select("doc_id", "text"))
+    judged = judge(spread(documents(spark, sf_dir).select("doc_id", "text")))
     return judged.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in MEASURES if n != "clean"])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, kind, map_batches
 from millrace.operators.graph import connected_components
-from millrace.session import discard, fresh, materialize
+from millrace.session import discard, fresh, materialize, spread
 
 SHINGLE = 3
 SEED = 42
@@ -139,4 +139,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(spread(documents(spark, sf_dir)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import gru
 from millrace.llm.common import bounded, documents, fold, kind, map_batches, sampled
+from millrace.session import spread
 
 FOLDS, HELD_OUT = 5, 0
 #: Runs of letters; longer ones are taken in pieces.
@@ -302,4 +303,4 @@ def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text")
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
-    return score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(spread(docs), learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
